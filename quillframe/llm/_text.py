@@ -105,11 +105,11 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool
     return out
 
 
-def scan(column: pa.Array, lower: bool = True, hashes: bool = True, most: int = GROUP_BYTES) -> Iterator[Words]:
+def scan(column: pa.Array, lower: bool = True, hashes: bool = True, most: int = GROUP_BYTES, space: np.ndarray = SPACE) -> Iterator[Words]:
     raw, at = buffers(column)
     for i, j in groups(at, most):
         lo, hi = int(at[i]), int(at[j])
-        ink = ~SPACE[raw[lo:hi]]
+        ink = ~space[raw[lo:hi]]
         first, last = ink.copy(), ink.copy()
         first[1:] &= ~ink[:-1]
         last[:-1] &= ~ink[1:]
