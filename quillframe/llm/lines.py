@@ -98,7 +98,8 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(
         F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
     )
-    return keyed.join(gone, "row", "left").select(
+    # merged at every size: a plan that broadcasts while ``gone`` is small would change as the corpus grows
+    return keyed.join(gone.hint("merge"), "row", "left").select(
         *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
