@@ -172,7 +172,7 @@ def _confirm(percent: int):
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    full = scratch.table(texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
+    full = scratch.table(texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
     left, right = (full.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     good = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
     scratch.drop(full)
