@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, near_dedup, piece_fst, sharding, token_store
+from . import hilbert_search, lines, mixing, near_dedup, piece_fst, pivot_search, quality, sharding, token_store
 from ._common import Scratch, table
 
 
@@ -17,15 +17,29 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.md5("text").alias("text_md5"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select("doc_id", "quality_grade", "quality_tail", (F.col("quality_tail") >= 0.5).alias("kept"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -45,6 +59,13 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op1_pivot_search": r"""
+WITH usable AS (SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op2_line_dedup": r"""
 WITH line AS (
   SELECT doc_id, source, UNNEST(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
@@ -65,8 +86,11 @@ FROM documents d LEFT JOIN kept k USING (doc_id)""",
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pivot_search": op1_pivot_search,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality": op3_quality,
         "op4_near_dedup": op4_near_dedup,
+        "op6_hilbert_search": op6_hilbert_search,
         "op7_shards": op7_shards,
         "op8_token_store": op8_token_store,
         "op9_sentencepiece": op9_sentencepiece,
