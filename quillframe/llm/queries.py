@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert_search, lines, mixing, near_dedup, piece_fst, pivot_search, quality, sharding, token_store
+from . import hilbert_search, lines, mixing, near_dedup, passages, piece_fst, pivot_search, quality, sharding, token_store
 from ._common import Scratch, table
 
 
@@ -36,6 +36,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op3_quality": op3_quality,
         "op4_near_dedup": op4_near_dedup,
+        "op5_passages": op5_passages,
         "op6_hilbert_search": op6_hilbert_search,
         "op7_shards": op7_shards,
         "op8_token_store": op8_token_store,
