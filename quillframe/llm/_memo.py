@@ -1,6 +1,6 @@
 """Encoding by distinct unit: each distinct byte string of a slice is encoded once, then gathered.
 
-A worker keeps what it has encoded, over its tasks, in a dictionary that is emptied at its limit, so
+A worker keeps what it has encoded, over its tasks, in two dictionaries of limited size, so
 memory stays bounded whatever the corpus holds. Results never depend on what is kept.
 """
 
@@ -12,34 +12,41 @@ import numpy as np
 
 from ._text import word_hashes
 
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 40 << 20
 ENTRY_BYTES = 180
 LONGEST = 64
 
 
 class Memo:
+    """``encode`` gives the ids of byte strings. Two generations are kept: when the younger is full it
+    becomes the elder, and what is met again moves back."""
+
     def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype=np.uint16):
-        self.encode, self.dtype, self.known, self.held = encode, np.dtype(dtype), {}, 0
+        self.encode, self.dtype, self.young, self.old, self.held = encode, np.dtype(dtype), {}, {}, 0
 
     def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after another, number of ids of each unit)."""
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         _, first, inverse = np.unique(word_hashes(raw, start, end, lower=False), return_index=True, return_inverse=True)
-        text = raw.data if raw.flags.c_contiguous else raw.tobytes()
-        keys = [bytes(text[a:b]) for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        found = [self.known.get(k) for k in keys]
+        text = raw.tobytes()
+        keys = [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        found = list(map(self.young.get, keys))
         missing = [i for i, f in enumerate(found) if f is None]
         if missing:
-            for i, ids in zip(missing, self.encode([keys[i] for i in missing]), strict=True):
-                found[i] = np.asarray(ids, dtype=self.dtype).tobytes()
-            if self.held > KEEP_BYTES:
-                self.known.clear()
-                self.held = 0
+            new, size = [], self.dtype.itemsize
+            for i in missing:
+                f = found[i] = self.old.get(keys[i])
+                if f is None:
+                    new.append(i)
+            for i, ids in zip(new, self.encode([keys[i] for i in new]) if new else (), strict=True):
+                found[i] = ids.astype(self.dtype, copy=False).tobytes() if isinstance(ids, np.ndarray) else np.array(ids, dtype=self.dtype).tobytes()
             for i in missing:
                 if len(keys[i]) <= LONGEST:
-                    self.known[keys[i]] = found[i]
-                    self.held += ENTRY_BYTES + len(keys[i]) + len(found[i])
+                    self.young[keys[i]] = found[i]
+                    self.held += ENTRY_BYTES + len(keys[i]) + len(found[i]) * size
+            if self.held > KEEP_BYTES:
+                self.young, self.old, self.held = {}, self.young, 0
         flat = np.frombuffer(b"".join(found), dtype=self.dtype)
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
         return gather(flat, np.cumsum(size) - size, size, inverse)

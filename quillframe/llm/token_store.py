@@ -15,7 +15,7 @@ recomputed, and each document's checksum put together from its chunks' (CRC-32 o
 linear in those of its parts), so chunk payloads never cross the network a second time.
 ``read_store`` rebuilds the id arrays themselves.
 
-Words are encoded once per distinct word and slice and then gathered, which equals encoding whole
+Words are encoded once per distinct unit and slice and then gathered, which equals encoding whole
 texts for tokenizers that cut at white space and drop it (``by_word``); others encode whole texts.
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are stored as rows of their
@@ -25,6 +25,7 @@ own, sharing chunks. Null ids come first. Nothing but doc_id and text is stored.
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from ._common import Scratch, pick
 from ._memo import Memo, kept
-from ._text import _powers, buffers, groups, mix, scan
+from ._text import GROUP_BYTES, LOWER, SPACE, _powers, buffers, groups, mix, scan
 
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 STEP = 1 << 18
@@ -78,17 +79,23 @@ def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        run, memo = kept(("tokenizer", hashlib.sha256(tokenizer.encode()).digest(), width), lambda: _tokenizer(tokenizer, dtype))
+        words = kept(("tokenizer", hashlib.sha256(tokenizer.encode()).digest(), width), lambda: Words(tokenizer, dtype))
+        run = words.run
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, docs in _by_word(batch, memo, dtype) if by_word else _whole(batch, run, dtype):
+            for first, ids_of_all, edges in _by_word(batch, words) if by_word else _whole(batch, run, dtype):
                 n, digests, payloads, roots = [], [], [], []
-                for doc in docs:
-                    doc = np.append(doc, dtype(end_id))
-                    bounds = chunk_bounds(len(doc), cut_points(doc) if len(doc) > LEAST else np.zeros(0, np.int64))
-                    parts = [doc[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+                # the end id goes behind each document
+                flat = np.insert(ids_of_all, edges[1:], dtype(end_id))
+                edges = edges + np.arange(len(edges))
+                cuts = cut_points(flat)
+                near = np.searchsorted(cuts, edges)
+                data, wide = flat.tobytes(), flat.itemsize
+                for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+                    bounds = chunk_bounds(b - a, cuts[near[i] : near[i + 1]] - a)
+                    parts = [data[(a + x) * wide : (a + y) * wide] for x, y in zip(bounds, bounds[1:], strict=False)]
                     own = [hashlib.sha256(p).digest()[:16] for p in parts]
-                    n.append(len(doc))
+                    n.append(b - a)
                     digests.append(own)
                     payloads.append(parts)
                     roots.append(hashlib.sha256(b"".join(own)).digest())
@@ -100,26 +107,92 @@ def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
     return encode
 
 
-def _tokenizer(text: str, dtype) -> tuple:
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(text)
-    run = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    return run, Memo(lambda keys: [e.ids for e in run([k.decode("utf-8", "replace") for k in keys], add_special_tokens=False)], dtype)
-
-
-def _by_word(batch: pa.RecordBatch, memo: Memo, dtype) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for w in scan(batch.column("text"), hashes=False):
-        ids, n = memo(w.raw, w.start, w.end)
-        ends = np.concatenate([[0], np.cumsum(n)])[w.bounds]
-        yield w.first, [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
-
+class Words:
+    """Encodes whole columns by distinct units of words.
+
+    A word is a unit; it is further cut between ASCII letters and ASCII marks, where the tokenizer's
+    own splitting cuts too, unless it holds an apostrophe (contractions) or a character of an added
+    token. Letters are lowered first if the tokenizer lowers them.
+    """
+
+    def __init__(self, text: str, dtype):
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_str(text)
+        told = json.loads(text)
+        self.run = getattr(tok, "encode_batch_fast", tok.encode_batch)
+        self.lower = '"Lowercase"' in json.dumps(told.get("normalizer"))
+        self.suffix = told["model"].get("end_of_word_suffix") or None
+        self.ends = np.zeros(tok.get_vocab_size(), dtype=bool)
+        if self.suffix:
+            self.ends[[i for t, i in tok.get_vocab().items() if t.endswith(self.suffix)]] = True
+        codes = np.arange(256)
+        self.letter = ((codes >= 65) & (codes <= 90)) | ((codes >= 97) & (codes <= 122))
+        self.mark = (codes < 128) & ~self.letter & ~SPACE
+        self.glue = np.zeros(256, dtype=bool)
+        for c in {"'", *"".join(t["content"] for t in told.get("added_tokens") or [])}:
+            if ord(c) < 128 and not self.letter[ord(c)]:
+                self.glue[ord(c)] = True
+        self.memo = Memo(self.encode, dtype)
+        self.by_run = self.cuts_at_marks()
+
+    def cuts_at_marks(self) -> bool:
+        """Whether letters and marks encode alike apart and together, on probes of every ASCII mark."""
+        marks = [chr(c) for c in np.flatnonzero(self.mark & ~self.glue) if c > 32 and c < 127]
+        probes = [t for m in marks for t in (f"word{m}", f"{m}word", f"a{m}{m}b")]
+        apart = [t for m in marks for t in ("word", m, m, "word", "a", m + m, "b")]
+        ids = [e.ids for e in self.run(probes, add_special_tokens=False)]
+        parts = [e.ids for e in self.run(apart, add_special_tokens=False)]
+        return sum(ids, []) == sum(parts, [])
+
+    def encode(self, keys: list[bytes]) -> list[np.ndarray]:
+        texts = [k.decode("utf-8", "replace") for k in keys]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if self.suffix:  # a run of letters ends where a piece has the suffix, so runs can share a call
+            alike = [i for i, t in enumerate(texts) if t.isalpha()]
+            (joined,) = self.run([" ".join([texts[i] for i in alike])], add_special_tokens=False)
+            ids = np.array(joined.ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
+            if len(ends) == len(alike):
+                at = 0
+                for i, end in zip(alike, ends.tolist(), strict=True):
+                    out[i] = ids[at:end]
+                    at = end
+        rest = [i for i, o in enumerate(out) if o is None]
+        for i, e in zip(rest, self.run([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype=np.int64)
+        return out
 
-def _whole(batch: pa.RecordBatch, run, dtype) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def units(self, w, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends in ``raw``, the slice's bytes."""
+        start, end = w
+        if not self.by_run or not len(start):
+            return start, end
+        letter, mark = self.letter[raw], self.mark[raw]
+        cut = np.flatnonzero((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) + 1
+        glued = np.concatenate([[0], np.cumsum(self.glue[raw], dtype=np.int32)])
+        word = np.searchsorted(start, cut, side="right") - 1
+        cut = cut[(glued[end[word]] == glued[start[word]]) & (cut < end[word])]
+        return np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+
+
+def _by_word(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, ids of the slice's rows one after another, n + 1 borders)."""
+    _, at = buffers(batch.column("text"))
+    for w in scan(batch.column("text"), hashes=False, most=3 * GROUP_BYTES):
+        own = at[w.first : w.first + len(w.count) + 1]
+        raw = w.raw[own[0] : own[-1]]
+        raw = LOWER[raw] if words.lower else raw
+        start, end = words.units((w.start - own[0], w.end - own[0]), raw)
+        ids, n = words.memo(raw, start, end)
+        yield w.first, ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, own - own[0])]
+
+
+def _whole(batch: pa.RecordBatch, run, dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     texts = batch.column("text")
     for i, j in groups(buffers(texts)[1]):
-        got = run([t or "" for t in texts.slice(i, j - i).to_pylist()], add_special_tokens=False)
-        yield i, [np.array(e.ids, dtype=dtype) for e in got]
+        got = [np.array(e.ids, dtype=dtype) for e in run([t or "" for t in texts.slice(i, j - i).to_pylist()], add_special_tokens=False)]
+        yield i, np.concatenate([np.zeros(0, dtype), *got]), np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int64)
 
 
 def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
