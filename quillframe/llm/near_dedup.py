@@ -4,18 +4,22 @@ Documents with the same shingle set are one class; classes carry ``COORDS`` minw
 of ``trees`` independent trees a class descends from the root to ``BRANCH`` children, each named by
 a coordinate that the node's seed selects and the class's token there. Similar sets agree on most
 tokens and so share paths; unrelated ones part at once. Nodes that are small enough are compared
-exhaustively on packed tokens; larger ones branch again. With two branches and similarity s, the
-chance that a pair shares no small node in a tree is at most the extinction probability q of
-q = (1 - s + s*q)^2, which is 0.031 at s = 0.85 (0.0625 at s = 0.8), so 6 trees miss a link with a
-chance below 1e-8 (6e-8); the packed comparison lets through what is within ``SLACK`` of the
-threshold, over five standard deviations. All that passes is confirmed on full shingle sets.
+exhaustively; larger ones branch again. With two branches and similarity s, the chance that a pair
+shares no small node in a tree is at most the extinction probability q of q = (1 - s + s*q)^2,
+which is 0.031 at s = 0.85 (0.0625 at s = 0.8), so 6 trees miss a link with a chance below 1e-8 (6e-8).
+
+Comparing is in two steps. Fingerprints of ``BINS`` bytes (the least shingle of each bin; for short
+texts nearly the set itself) tell which members of a node have a partner within ``SLACK`` of the
+threshold, five standard deviations. Only these meet again with their full shingle sets, and a node
+hands on no pairs but a spanning forest of the links confirmed there. A pair that shares several
+small nodes is looked at in the first of them alone.
 
 Large groups of near copies would agree on every token and never part. So the first level serves
 twice: each node's most typical member (the one whose tokens are most widely shared) is its hub, and
 links with hubs are confirmed first. A node is then compared only across the components so formed,
 which leaves nothing to do inside a group, while no link between components is lost. Nodes still
-large at the last level are compared in blocks of candidates against blocks of those outside the
-largest component, each block pair a group of its own; nothing is capped.
+large at the last level are compared in blocks of candidates against chunks of those outside the
+largest component, each pair of them a group of its own; nothing is capped.
 """
 
 from __future__ import annotations
@@ -23,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +35,13 @@ from ._common import Scratch, pick
 from ._components import components
 from ._text import mix, scan, shingle_sets
 
-COORDS = 128
+COORDS = 64
+BINS = 512
 BRANCH = 2
 LEVELS = 6
-NODE = 256
-SLACK = 0.2
+SLACK, HUB_SLACK = 0.08, 0.15
+#: what one task compares: members, pairs across components, and shingles of the members
+NODE, PAIRS, SHINGLES = 4096, 1 << 22, 1 << 22
 SEED = 0x5EED
 
 
@@ -55,6 +60,16 @@ def _tokens(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _print(shingles: np.ndarray) -> bytes:
+    """A byte for each bin of hash values: 0 if empty, else from its least shingle."""
+    top = (shingles >> np.uint64(64 - 9)).astype(np.int64)
+    first = np.ones(len(top), dtype=bool)
+    first[1:] = top[1:] != top[:-1]
+    out = np.zeros(BINS, dtype=np.uint8)
+    out[top[first]] = (mix(shingles[first]) % np.uint64(255)).astype(np.uint8) + 1
+    return out.tobytes()
+
+
 def sketcher(k: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,33 +78,38 @@ def sketcher(k: int):
                 sets = shingle_sets(w, k)
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 some = np.flatnonzero(n)
-                hi, lo, packed = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [None] * len(n)
+                hi, lo, packed, prints = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), [None] * len(n), [None] * len(n)
                 if len(some):
                     tokens = _tokens([sets[i] for i in some])
                     for row, i in enumerate(some):
                         m = mix(sets[i])
                         hi[i], lo[i] = m.sum(dtype=np.uint64).view(np.int64), np.bitwise_xor.reduce(mix(m + np.uint64(1))).view(np.int64)
                         packed[i] = tokens[row].tobytes()
+                        prints[i] = _print(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(w.first, len(n)), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary())],
-                    names=["doc_id", "n_shingles", "hi", "lo", "tokens"],
+                    [ids.slice(w.first, len(n)), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary()), pa.array(prints, pa.binary())],
+                    names=["doc_id", "n_shingles", "hi", "lo", "tokens", "print"],
                 )
 
     return sketch
 
 
-def _first_nodes(trees: int):
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=dtype).reshape(-1, width)
+
+
+def _paths(trees: int):
+    """Each class's nodes of the first level, side by side: BRANCH for each tree."""
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            out = []
-            for tree in range(trees):
-                seed = mix(np.array([SEED + tree], dtype=np.uint64))
-                out += _children(np.broadcast_to(seed, len(ids)), tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(out))), pa.array(np.concatenate(out).view(np.int64))], names=["doc", "node"])
+            tokens = _matrix(batch.column("tokens"), np.uint32, COORDS)
+            seeds = mix(np.arange(trees, dtype=np.uint64) + np.uint64(SEED))
+            out = np.column_stack([c for s in seeds for c in _children(np.broadcast_to(s, len(tokens)), tokens)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "n", "tokens", "print")), lists], names=["doc", "n", "tokens", "print", "paths"])
 
-    return first
+    return paths
 
 
 def _children(node: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
@@ -106,10 +126,11 @@ def _children(node: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
 
 def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), dtype=np.uint32).reshape(-1, COORDS)
-        ids, node = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
+        tokens = _matrix(batch.column("tokens"), np.uint32, COORDS)
+        node = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
         out = _children(node, tokens)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, len(out))), pa.array(np.concatenate(out).view(np.int64))], names=["doc", "node"])
+        ids, n = (np.tile(batch.column(c).to_numpy(zero_copy_only=False), len(out)) for c in ("doc", "n"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(np.concatenate(out).view(np.int64)), pa.array(np.full(len(ids), 99, np.int32))], names=["doc", "n", "node", "at"])
 
 
 def _similar(least: float):
@@ -117,31 +138,130 @@ def _similar(least: float):
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint32).reshape(-1, COORDS) for c in ("ta", "tb"))
+            x, y = (_matrix(batch.column(c), np.uint32, COORDS) for c in ("ta", "tb"))
             keep = pa.array((x == y).mean(axis=1) >= least) if batch.num_rows else pa.array([], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return similar
 
 
-def _compare(least: float):
-    """Within (node, chunk, block): queries against candidates of other components."""
+KEY = ("node", "chunk", "block")
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.frombuffer(b"".join(pdf["tokens"]), dtype=np.uint32).reshape(-1, COORDS)
-        ids, comp, query, cand = (pdf[c].to_numpy() for c in ("doc", "root", "query", "cand"))
-        c = np.flatnonzero(cand)
-        a, b = [], []
-        for q in np.flatnonzero(query):
-            hit = c[((tokens[c] == tokens[q]).sum(axis=1) >= least * COORDS) & (comp[c] != comp[q])]
-            a.append(np.full(len(hit), ids[q]))
-            b.append(ids[hit])
-        if not a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates()
 
-    return compare
+def _groups(batches: Iterator[pa.RecordBatch], extract) -> Iterator[dict[str, np.ndarray]]:
+    """Rows of one (node, chunk, block) after another, from batches sorted by it."""
+    held: dict[str, np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*KEY, "at", "doc", "root", "query", "cand", "mask")}
+        rows["print"] = _matrix(batch.column("print"), np.uint8, BINS)
+        rows["paths"] = batch.column("paths").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+        rows |= extract(batch)
+        if held is not None:
+            rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+        new = np.zeros(len(rows["doc"]), dtype=bool)
+        for c in KEY:
+            new[1:] |= rows[c][1:] != rows[c][:-1]
+        edges = [0, *np.flatnonzero(new).tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield {c: v[a:b] for c, v in rows.items()}
+        held = {c: v[edges[-1] :] for c, v in rows.items()}
+    if held is not None:
+        yield held
+
+
+def _near(g: dict[str, np.ndarray], q: int, cand: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates near enough to row q by fingerprints, in other components, not met in an earlier small node; and how near."""
+    c = cand[g["root"][cand] != g["root"][q]]
+    met = (g["paths"][c] == g["paths"][q]) & ((g["mask"][q] >> np.arange(g["paths"].shape[1])) & 1).astype(bool)
+    c = c[~met[:, : int(g["at"][q])].any(axis=1)]
+    x, y = g["print"][q], g["print"][c]
+    some = (y != 0) | (x != 0)
+    share = ((y == x) & some).sum(axis=1) / np.maximum(some.sum(axis=1), 1)
+    keep = share >= least
+    return c[keep], share[keep]
+
+
+def _flagged(least: float):
+    """Members with a near partner: (node, chunk, block, doc)."""
+
+    def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for g in _groups(batches, lambda b: {}):
+            cand = np.flatnonzero(g["cand"])
+            hit = np.zeros(len(g["doc"]), dtype=bool)
+            for q in np.flatnonzero(g["query"]):
+                c, _ = _near(g, q, cand, least)
+                if len(c):
+                    hit[c] = hit[q] = True
+            if hit.any():
+                out.append(tuple(g[c][hit] for c in (*KEY, "doc")))
+                size += int(hit.sum())
+            if size > 50_000:
+                yield _batch(out)
+                out, size = [], 0
+        yield _batch(out)
+
+    return flagged
+
+
+def _batch(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*KEY, "doc"])
+
+
+def _spanning(least: float, percent: int):
+    """Links (a, b) confirmed on full sets that join components of a node, no more than its members."""
+
+    def spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def shingles(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+            out = np.empty(batch.num_rows, dtype=object)
+            out[:] = batch.column("shingles").to_pylist()
+            return {"shingles": out}
+
+        for g in _groups(batches, shingles):
+            cand, pairs = np.flatnonzero(g["cand"]), []
+            for q in np.flatnonzero(g["query"]):
+                c, share = _near(g, q, cand, least)
+                pairs.append(np.column_stack([-share, np.full(len(c), q), c]))
+            if not pairs or not sum(map(len, pairs)):
+                continue
+            pairs = np.concatenate(pairs)
+            pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            up: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while up.get(x, x) != x:
+                    up[x] = x = up.get(up[x], up[x])
+                return x
+
+            a, b, sets = [], [], {}
+            for q, c in pairs[:, 1:].astype(np.int64).tolist():
+                x, y = top(int(g["root"][q])), top(int(g["root"][c]))
+                if x == y:
+                    continue
+                for i in (q, c):
+                    if i not in sets:
+                        sets[i] = np.frombuffer(g["shingles"][i], np.uint64)
+                if linked(sets[q], sets[c], percent):
+                    up[x] = y
+                    a.append(int(g["doc"][q]))
+                    b.append(int(g["doc"][c]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return spanning
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _sets(k: int):
@@ -160,19 +280,22 @@ def _confirm(percent: int):
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+                keep[i] = linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
     return confirm
 
 
+def _full(wanted: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """doc, shingles of the wanted documents; merged at every size, so that the plan doesn't change as the corpus grows."""
+    return scratch.table(texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full shingle sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    full = scratch.table(texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
+    full = _full(wanted, texts, k, scratch)
     left, right = (full.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     good = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
     scratch.drop(full)
@@ -190,60 +313,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     base = pick(docs, doc_id="long", text="string")
-    sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, n_shingles long, hi long, lo long, tokens binary"), "sketches")
+    sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
     taking = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.table(taking.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens")), "classes")
-    # a repeated doc_id may stand for several classes: they share their node, so its token rows stay apart by class
-    tokens = classes.select("doc", "tokens").dropDuplicates(["doc"])
-    roots = _linked(tokens, classes, base, scratch, k, percent, trees)
+    classes = scratch.table(taking.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens"), F.first("print").alias("print")), "classes")
+    # a repeated doc_id may name several classes; one of them is compared
+    members = classes.select("doc", F.col("n_shingles").alias("n"), "tokens", "print").dropDuplicates(["doc"])
+    roots = _linked(members, base, scratch, k, percent, trees)
     named = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("n_shingles", "hi", "lo", F.coalesce("root", "doc").alias("component_id"))
     key = ["n_shingles", "hi", "lo"]
     out = sketches.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _linked(tokens: DataFrame, classes: DataFrame, base: DataFrame, scratch: Scratch, k: int, percent: int, trees: int) -> DataFrame:
-    least = percent / 100 - SLACK
-    tokens = scratch.table(tokens, "tokens")
+def _linked(members: DataFrame, base: DataFrame, scratch: Scratch, k: int, percent: int, trees: int) -> DataFrame:
+    least = percent / 100
+    members = scratch.table(members.mapInArrow(_paths(trees), "doc long, n long, tokens binary, print binary, paths array<long>"), "members")
     texts = base.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
-    nodes = tokens.mapInArrow(_first_nodes(trees), "doc long, node long")
+    nodes = members.select("doc", "n", F.posexplode("paths").alias("at", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    nodes = scratch.table(nodes.join(sizes, "node").select("doc", "node", "size"), "nodes")
+    nodes = scratch.table(nodes.join(sizes, "node").select("doc", "n", "node", "at", "size"), "nodes")
     # hubs: the member whose tokens are most widely shared
     typical = nodes.groupBy("doc").agg(F.sum(F.log("size")).alias("shared"))
-    ranked = nodes.join(typical, "doc")
     best = F.max(F.struct(F.round("shared", 9).alias("shared"), (-F.col("doc")).alias("minus"))).alias("best")
-    hubs = ranked.groupBy("node").agg(best).select("node", (-F.col("best.minus")).alias("hub"))
+    hubs = nodes.join(typical, "doc").groupBy("node").agg(best).select("node", (-F.col("best.minus")).alias("hub"))
     spokes = nodes.join(hubs, "node").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
-    sided = [tokens.select(F.col("doc").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab"]
-    spokes = spokes.join(sided[0], "a").join(sided[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar(least), "a long, b long")
-    first = _confirmed(scratch.table(spokes, "spokes"), texts, k, percent, scratch)
-    roots = scratch.table(components(first, scratch).withColumnRenamed("node", "doc"), "hub-roots")
+    sided = [members.select(F.col("doc").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab"]
+    spokes = spokes.join(sided[0], "a").join(sided[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar(least - HUB_SLACK), "a long, b long")
+    found = _confirmed(scratch.table(spokes, "spokes"), texts, k, percent, scratch)
+    roots = scratch.table(components(found, scratch).withColumnRenamed("node", "doc"), "hub-roots")
     # across components: small nodes at once, larger ones after branching
-    pairs = None
+    placed, masks = None, None
     for level in range(LEVELS):
-        own = nodes.join(roots, "doc", "left").select("node", "doc", F.coalesce("root", "doc").alias("root"))
-        own = scratch.table(own, "own")
-        shape = own.groupBy("node", "root").agg(F.count("*").alias("n"))
-        shape = shape.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "root")).alias("top"))
-        shape = shape.select("node", "size", F.col("top.root").alias("main"), (F.col("size") - F.col("top.n")).alias("odd")).where("odd > 0")
+        own = scratch.table(nodes.join(roots, "doc", "left").select("node", "at", "doc", "n", F.coalesce("root", "doc").alias("root")), "own")
+        shape = own.groupBy("node", "root").agg(F.count("*").alias("size"), F.sum("n").alias("n"))
+        shape = shape.groupBy("node").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.max(F.struct("size", "root")).alias("top"))
+        shape = shape.select("node", "size", "n", F.col("top.root").alias("main"), (F.col("size") - F.col("top.size")).alias("odd")).where("odd > 0")
         last = level == LEVELS - 1
-        small = (F.col("size") <= NODE) | (F.col("odd") * F.col("size") <= NODE * NODE)
-        shape = scratch.table(shape.withColumn("small", F.lit(True) if last else small), "shape")
-        # members against those outside the largest component, in blocks where a node is large
-        chunks, blocks = F.ceil(F.col("odd") / NODE), F.ceil(F.col("size") / (8 * NODE))
-        ready = own.join(shape.where("small").withColumns({"chunks": chunks, "blocks": blocks}), "node").withColumn("odd", F.col("root") != F.col("main"))
-        chunk, block = (F.pmod(F.xxhash64("doc", F.lit(s)), F.col(n)) for s, n in ((1, "chunks"), (2, "blocks")))
-        every_chunk, every_block = (F.sequence(F.lit(0), F.col(n).cast("int") - 1) for n in ("chunks", "blocks"))
-        as_cand = ready.select("node", "doc", "root", F.explode(every_chunk).alias("chunk"), block.cast("int").alias("block"), F.lit(False).alias("query"), F.lit(True).alias("cand"))
-        as_query = ready.where("odd").select("node", "doc", "root", chunk.cast("int").alias("chunk"), F.explode(every_block).alias("block"), F.lit(True).alias("query"), F.lit(False).alias("cand"))
-        placed = as_cand.unionByName(as_query).groupBy("node", "chunk", "block", "doc", "root").agg(F.max("query").alias("query"), F.max("cand").alias("cand"))
-        compared = placed.join(tokens, "doc").groupBy("node", "chunk", "block").applyInPandas(_compare(least), "a long, b long").distinct()
-        found = scratch.table(compared, "pairs")
-        pairs = found if pairs is None else pairs.union(found)
+        small = F.lit(True) if last else (F.col("size") <= NODE) & (F.col("odd") * F.col("size") <= PAIRS) & (F.col("n") <= SHINGLES)
+        shape = scratch.table(shape.withColumn("small", small), "shape")
+        # members against those outside the largest component, in chunks and blocks where a node is large
+        blocks = F.greatest(F.ceil(F.col("size") / NODE), F.ceil(F.col("n") / SHINGLES))
+        chunks = F.least(F.ceil(F.col("odd") / F.lit(PAIRS / NODE)), F.col("odd"))
+        laid = shape.where("small").select("node", "main", blocks.alias("blocks"), chunks.alias("chunks"))
+        ready = own.join(laid, "node").withColumn("odd", F.col("root") != F.col("main"))
+        if level == 0:
+            masks = scratch.table(ready.groupBy("doc").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask")), "masks")
+        chunk, block = (F.pmod(F.xxhash64("doc", F.lit(s)), F.col(n)).cast("int") for s, n in ((1, "chunks"), (2, "blocks")))
+        # a candidate meets every chunk of its block, a query every block: one row each where a node isn't cut
+        spots = F.when(F.col("odd"), F.array_union(F.transform(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1), lambda c: F.struct(c.alias("chunk"), block.alias("block"))), F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda b: F.struct(chunk.alias("chunk"), b.alias("block")))))
+        spots = F.coalesce(spots, F.transform(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1), lambda c: F.struct(c.alias("chunk"), block.alias("block"))))
+        laid_out = ready.select("node", "at", "doc", "root", "odd", chunk.alias("mine"), block.alias("home"), F.explode(spots).alias("s"))
+        laid_out = laid_out.select("node", F.col("s.chunk").alias("chunk"), F.col("s.block").alias("block"), "at", "doc", "root", (F.col("odd") & (F.col("mine") == F.col("s.chunk"))).alias("query"), (F.col("home") == F.col("s.block")).alias("cand"))
+        placed = laid_out if placed is None else placed.unionByName(laid_out)
         if last or shape.where("NOT small").isEmpty():
             break
-        branching = own.join(shape.where("NOT small").select("node"), "node", "left_semi").join(tokens, "doc")
-        nodes = scratch.table(branching.select("doc", "node", "tokens").mapInArrow(_next_nodes, "doc long, node long"), "nodes")
-    second = _confirmed(scratch.table(pairs.distinct(), "all-pairs"), texts, k, percent, scratch)
-    return components(first.unionByName(second), scratch)
+        branching = own.join(shape.where("NOT small").select("node"), "node", "left_semi").join(members.select("doc", "tokens"), "doc")
+        nodes = branching.select("doc", "n", "node", "tokens").mapInArrow(_next_nodes, "doc long, n long, node long, at int")
+        nodes = scratch.table(nodes, "nodes")
+    placed = scratch.table(placed, "placed")
+    known = members.select("doc", "print", "paths").join(masks, "doc", "left").select("doc", "print", "paths", F.coalesce("mask", F.lit(0)).alias("mask"))
+    met = placed.join(known, "doc").repartition(*KEY).sortWithinPartitions(*KEY, "doc")
+    flagged = scratch.table(met.mapInArrow(_flagged(least - SLACK), "node long, chunk int, block int, doc long"), "flagged")
+    full = _full(flagged.select("doc").distinct(), texts, k, scratch)
+    again = flagged.join(placed, [*KEY, "doc"]).join(known, "doc").join(full, "doc").repartition(*KEY).sortWithinPartitions(*KEY, "doc")
+    links = scratch.table(again.mapInArrow(_spanning(least - SLACK, percent), "a long, b long"), "spanning")
+    return components(found.unionByName(links), scratch)
