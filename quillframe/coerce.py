@@ -55,4 +55,5 @@ def trimmed(value) -> Column:
 
 def let(values: dict[str, Column], body) -> Column:
     """``body`` of a struct of ``values``, each worked out once."""
-    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+    parts = [x for k, v in values.items() for x in (F.lit(k), v)]
+    return F.transform(F.array(F.named_struct(*parts)), body)[0]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..coerce import let
 from ..functions import color
 
 #: Our own default base palette (named web colours); any table idx, name, hex may stand in.
@@ -51,7 +52,8 @@ def entries(palette: DataFrame) -> Column:
 
 def nearest(lab: Column, palette: Column) -> Column:
     """The entry (distance, seq, name, hex) nearest in Lab, the first of equals."""
-    return F.array_min(F.transform(palette, lambda p: F.struct(color.delta_e(lab, p["lab"]).alias("distance"), p["seq"].alias("seq"), p["name"].alias("name"), p["hex"].alias("hex"))))
+    # the colour is bound first, so that it is worked out once and not for each entry
+    return let({"lab": lab}, lambda v: F.array_min(F.transform(palette, lambda p: F.struct(color.delta_e(v["lab"], p["lab"]).alias("distance"), p["seq"].alias("seq"), p["name"].alias("name"), p["hex"].alias("hex")))))
 
 
 def mapped(nodes: DataFrame, palette: DataFrame, raw: str = "raw") -> DataFrame:
@@ -62,7 +64,7 @@ def mapped(nodes: DataFrame, palette: DataFrame, raw: str = "raw") -> DataFrame:
     key = F.lower(F.trim(F.coalesce(raw, F.lit(""))))
     keyed = nodes.withColumn("key", F.when(color.mappable(F.col(raw)), key))
     distinct = keyed.select("key").where("key IS NOT NULL").distinct().withColumn("c", color.css(F.col("key"))).where("c IS NOT NULL")
-    found = distinct.select("key", nearest(color.lab(F.col("c")), entries(palette)).alias("best"))
+    found = distinct.withColumns({"lab": color.lab(F.col("c")), "entries": entries(palette)}).select("key", nearest(F.col("lab"), F.col("entries")).alias("best"))
     return keyed.join(found, "key", "left").drop("key")
 
 

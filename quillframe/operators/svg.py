@@ -41,7 +41,7 @@ def mapped(documents: DataFrame, palette: DataFrame) -> DataFrame:
 
     nodes = documents.select("doc_id", F.posexplode(paints(F.col("svg"))).alias("seq", "raw")).where(color.mappable(F.col("raw")))
     keyed = nodes.withColumn("key", F.lower(F.trim("raw")))
-    distinct = keyed.select("key").distinct().withColumn("c", color.css(F.col("key"))).where("c IS NOT NULL").select("key", nearest(color.lab(F.col("c")), entries(palette)).alias("best"))
+    distinct = keyed.select("key").distinct().withColumn("c", color.css(F.col("key"))).where("c IS NOT NULL").withColumns({"lab": color.lab(F.col("c")), "entries": entries(palette)}).select("key", nearest(F.col("lab"), F.col("entries")).alias("best"))
     first = keyed.join(distinct, "key").groupBy("doc_id", "key", "best").agg(F.min("seq").alias("seq"))
     # mapped values may be keys themselves, so each is protected until all are in place
     per_doc = first.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "key", F.concat(F.lit("\u0001"), F.substring("best.hex", 2, 6)).alias("hex"), F.col("best.name").alias("name")))).alias("m"))
