@@ -28,7 +28,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def strip_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without cross-site boilerplate lines; a document that was nothing else goes."""
-    out = lines.remove_boilerplate(docs)
+    out = lines.remove_boilerplate(docs.select(*COLUMNS))
     whole = F.col("n_removed") == 0
     kept = out.where(whole | (F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")) != ""))
     return kept.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*COLUMNS)
@@ -36,6 +36,7 @@ def strip_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    docs = docs.select(*COLUMNS)
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     gone = found.where("NOT kept").select("doc_id").distinct()
     # merged at every size: the list of copies grows with the corpus
@@ -54,7 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
     # a struct as key, so that rows without doc_id meet too
     passes = mixing.mix_documents(docs).where("passes > 0").groupBy(F.struct("doc_id").alias("id")).agg(F.max("passes").alias("passes"))
-    keyed = docs.withColumn("id", F.struct("doc_id"))
+    keyed = docs.select(*COLUMNS, F.struct("doc_id").alias("id"))
     return keyed.join(passes.hint("merge"), "id").withColumn("pass", F.explode(F.sequence(F.lit(1), "passes"))).select(*COLUMNS)
 
 

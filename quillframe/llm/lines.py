@@ -12,7 +12,8 @@ four standard errors of the threshold get an exact distinct count; further ones
 sketch. Surroundings are counted exactly, for the spread lines alone.
 
 Defined cases: a null site counts as one site of its own; null texts stay null and have no lines;
-rows with null or repeated doc_id are treated row by row; every other column passes through.
+rows with null or repeated doc_id are treated row by row; every other column passes through, but for
+columns of the input named n_lines or n_removed, which give way to the counts.
 A text that loses all its lines becomes empty, and stays as a row.
 """
 
@@ -93,14 +94,15 @@ def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source"
     scratch = Scratch(docs.sparkSession, "lines")
     lines, found = boilerplate(docs, scratch, text, site, min_sites, min_context)
     gone = scratch.table(found.join(lines.select("key"), "key", "left_semi").groupBy("row").agg(F.collect_set("at").alias("gone")), "gone")
-    keyed = docs.withColumn("row", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("t")))
+    keyed = docs.withColumn("__row", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("t")))
     split = F.split(text, "\n")
-    kept = F.when(F.col("gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
+        F.array_join(F.filter(split, lambda _, i: ~F.array_contains("__gone", i)), "\n")
     )
     # merged at every size: a plan that broadcasts while ``gone`` is small would change as the corpus grows
-    return keyed.join(gone.hint("merge"), "row", "left").select(
-        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+    joined = keyed.join(gone.select(F.col("row").alias("__row"), F.col("gone").alias("__gone")).hint("merge"), "__row", "left")
+    return joined.select(
+        *[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"),
     )

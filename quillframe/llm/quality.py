@@ -15,7 +15,7 @@ scoring is map-only, and the weights sent out are bounded by the fitting sample.
 Defined cases: a null or empty text has no features, so z = 0. Ratings of unknown documents, with
 null grades, or repeated, are left out, left out and counted each. Without two grades to tell apart
 every document gets the single grade (or the top one, where there are no ratings). Repeated rows
-give repeated results; other columns pass through.
+give repeated results; other columns pass through, but for ones with the names of the results.
 """
 
 from __future__ import annotations
@@ -83,7 +83,7 @@ def _expit(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = 16_384, seed: int = 3) -> Ordinal:
+def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = 12_288, seed: int = 3) -> Ordinal:
     """The model of ``ratings`` (doc_id, grade) of ``docs`` (doc_id, text)."""
     rated = pick(ratings, doc_id="long", grade="int").where("doc_id IS NOT NULL AND grade IS NOT NULL")
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(most_rated)
@@ -100,8 +100,8 @@ def fit_features(sets: list[np.ndarray], grade: np.ndarray) -> Ordinal:
     if len(grades) < 2:
         return Ordinal(none.astype(np.int32), none, none, grades)
     y, n, steps = np.searchsorted(grades, grade), len(grade), len(grades) - 1
-    flat = np.concatenate(sets).astype(np.int64)
-    doc = np.repeat(np.arange(n), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     count = np.bincount(flat, minlength=1 << BITS)
     use = np.zeros(1 << BITS, dtype=bool)
     for j in range(1, steps + 1):
@@ -112,8 +112,9 @@ def fit_features(sets: list[np.ndarray], grade: np.ndarray) -> Ordinal:
     buckets = np.flatnonzero(use)
     place = np.full(1 << BITS, -1)
     place[buckets] = np.arange(len(buckets))
-    f, inside = place[flat], place[flat] >= 0
-    f, d = f[inside], doc[inside]
+    inside = use[flat]
+    f, d = place[flat[inside]], doc[inside]
+    del flat, doc, inside, place, use, count
     balance = 1.0 / np.sqrt(np.bincount(y, minlength=steps + 1) / n)[y]
     balance /= balance.mean()
     below = np.array([np.mean(y <= j) for j in range(steps)])
@@ -164,7 +165,8 @@ def score(docs: DataFrame, model: Ordinal, name: str = "quality") -> DataFrame:
         return pd.DataFrame({"grade": np.round(m.grades[0] + tails @ np.diff(m.grades).astype(float), 6), "tail": np.round(tails[:, -1], 6)})
 
     scored = docs.withColumn("__rate", rate(F.col("text").cast("string")))
-    return scored.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__rate.grade").alias(f"{name}_grade"), F.col("__rate.tail").alias(f"{name}_tail"))
+    own = (f"{name}_grade", f"{name}_tail")
+    return scored.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in own], F.col("__rate.grade").alias(f"{name}_grade"), F.col("__rate.tail").alias(f"{name}_tail"))
 
 
 def grades_of(labels: DataFrame) -> DataFrame:
