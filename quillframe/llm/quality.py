@@ -89,9 +89,12 @@ def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = 12_288, seed: int
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(most_rated)
     # at most most_rated rows of 12 bytes
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_featured, "doc_id long, grade int, features binary").toPandas()
-    got = got.sort_values(["doc_id", "grade"], kind="stable").drop_duplicates(["features", "grade"])
-    return fit_features([np.frombuffer(bytes(f), dtype=np.int32) for f in got["features"]], got["grade"].to_numpy(np.int64))
+    got = texts.mapInArrow(_featured, "doc_id long, grade int, features binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("features", "ascending")])
+    grade, packed = got.column("grade").to_numpy(), got.column("features").to_pylist()
+    del got
+    seen: set[tuple[bytes, int]] = set()
+    once = [i for i, pair in enumerate(zip(packed, grade.tolist(), strict=True)) if not (pair in seen or seen.add(pair))]
+    return fit_features([np.frombuffer(packed[i], dtype=np.int32) for i in once], grade[once].astype(np.int64))
 
 
 def fit_features(sets: list[np.ndarray], grade: np.ndarray) -> Ordinal:
@@ -106,11 +109,11 @@ def fit_features(sets: list[np.ndarray], grade: np.ndarray) -> Ordinal:
     use = np.zeros(1 << BITS, dtype=bool)
     for j in range(1, steps + 1):
         above = (y >= j) - np.mean(y >= j)
-        score = np.bincount(flat, weights=above[doc], minlength=1 << BITS)
+        score = np.bincount(flat, weights=above.astype(np.float32)[doc], minlength=1 << BITS)
         use |= score < -SCREEN * np.sqrt(np.maximum(count, 1) * max(above.var(), 1e-12))
     use &= count >= LEAST_DOCS
     buckets = np.flatnonzero(use)
-    place = np.full(1 << BITS, -1)
+    place = np.zeros(1 << BITS, dtype=np.int32)
     place[buckets] = np.arange(len(buckets))
     inside = use[flat]
     f, d = place[flat[inside]], doc[inside]
