@@ -34,7 +34,7 @@ from ._text import LOWER, Words, mix, scan
 
 BITS = 22
 REPEATS = (0.1, 0.2, 0.4)
-SCREEN, LEAST_DOCS = 4.5, 8
+SCREEN, LEAST_DOCS = 4.0, 4
 STEPS, RATE, RIDGE = 200, 0.1, 1.0
 
 
