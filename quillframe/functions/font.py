@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..coerce import WS, clamp, leading_int, let, trimmed
@@ -178,3 +178,9 @@ def traits(family: Column, name: Column, weight_: Column) -> Column:
     plain = F.when(whole.between(100, 900), whole.cast("string")).otherwise("400")
     style = F.when(F.contains(both, F.lit("italic")) | F.contains(both, F.lit("oblique")), "italic").otherwise("normal")
     return F.struct(mapped_family(family, name).alias("family"), F.when(bold, heavy).otherwise(plain).alias("weight"), style.alias("style"))
+
+
+def with_face(rows: DataFrame, family: Column, faces: DataFrame) -> DataFrame:
+    """``rows`` with the first non-generic family and, where a table of faces (token, url) has it, its url."""
+    keyed = rows.withColumn("primary", primary_family(family)).withColumn("__token", lookup_token(F.col("primary")))
+    return keyed.join(faces.withColumnRenamed("token", "__token"), "__token", "left").drop("__token")

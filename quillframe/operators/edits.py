@@ -156,3 +156,14 @@ def export_state() -> Column:
 def origin_masks(boxes: DataFrame) -> DataFrame:
     """A covering rectangle where each moved box stood, sent behind all else."""
     return boxes.where(is_moved()).select(*[c for c in boxes.columns if c.endswith("_id") or c == "page_index"], F.col("base_left").alias("left"), F.col("base_top").alias("top"), F.col("base_width").alias("width"), F.col("base_height").alias("height"), text_or(F.col("mask_color"), "#ffffff").alias("fill"))
+
+
+def selected(objects: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Text boxes among the chosen."""
+    return objects.where((F.col("kind") == "text_box") & ~F.col("is_helper")).join(chosen, key, "left_semi")
+
+
+def auto_matched(boxes: DataFrame, compat: bool = False) -> DataFrame:
+    """Every box with its original's typography, its scale within limits, and whether it is an edit worked out anew."""
+    scale = clamp(number_or(F.col("scale_x"), 1.0), 0.5, 2.2)
+    return refreshed(boxes.withColumns({"edit": as_original(F.col("original")), "scale_x": scale}), compat)

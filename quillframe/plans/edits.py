@@ -215,7 +215,44 @@ def baseline_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("box_seq", r6(F.col("new_top")).alias("new_top"))
 
 
-QUERIES = {f.__name__: f for f in (edit_changed, edit_compat, style_changed, effective_typography, edit_commit, page_exportable, nudge_tombstone, visual_state, origin_masks, mask_resize, letter_spacing, op_page_group, span_match_iou, op_resolve, fit_size, glyph_advance, erase_dedup, paint_order, z_order, baseline_snap)}
+def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes, drawings and helpers of a page."""
+    b = edits.refreshed(boxes(spark, sf_dir))
+    return b.withColumns({"kind": F.when(F.col("k") % 11 == 0, "rect").otherwise(F.col("kind")), "is_helper": F.col("k") % 33 == 0})
+
+
+def clear_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = edits.cleared(objects(spark, sf_dir))
+    return o.groupBy("doc_id", "page_index").agg(F.count("*").alias("objects"), F.count_if("has_edit").alias("edited"), r6(F.sum("left")).alias("lefts"), r6(F.sum("top")).alias("tops"))
+
+
+def duplicate_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = edits.duplicated(objects(spark, sf_dir), F.col("k") % 2 == 0)
+    return o.groupBy("doc_id").agg(F.count("*").alias("objects"), F.sum("copy").alias("copies"), r6(F.sum("left")).alias("lefts"))
+
+
+def selected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a selection, by its ids."""
+    o = objects(spark, sf_dir)
+    chosen = o.where("k % 21 = 4").select("box_seq")
+    return edits.selected(o, chosen, "box_seq").groupBy("doc_id").agg(F.count("*").alias("boxes"))
+
+
+def auto_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every box back to its original type; by the plain rule and by the one that makes each an edit."""
+    b = edits.auto_matched(boxes(spark, sf_dir)).select("box_seq", "doc_id", F.col("has_edit").alias("plain"))
+    c = edits.auto_matched(boxes(spark, sf_dir), compat=True).select("box_seq", F.col("has_edit").alias("compat"))
+    return b.join(c, "box_seq").groupBy("doc_id").agg(F.count_if("plain").alias("plain"), F.count_if("compat").alias("compat"))
+
+
+def vector_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as drawn over the page itself: baseline from the bottom of the page."""
+    o = ops(spark, sf_dir)
+    d = match.vector_places(o, F.lit(PW), F.lit(PH))
+    return d.select("op_seq", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"), r6(F.col("size")).alias("size"), "own_glyphs")
+
+
+QUERIES = {f.__name__: f for f in (edit_changed, edit_compat, style_changed, effective_typography, edit_commit, page_exportable, nudge_tombstone, visual_state, origin_masks, mask_resize, letter_spacing, op_page_group, span_match_iou, op_resolve, fit_size, glyph_advance, erase_dedup, paint_order, z_order, baseline_snap, clear_page, duplicate_objects, selected_boxes, auto_match, vector_ops)}
 
 _W = "WITH " + BOX_SQL
 OP_SQL = f"""{TEXT_RUN_SQL}, op AS (SELECT doc_id, page_index, run_id AS op_seq, run_id // 50 AS k, "left" AS bl, top AS bt, width AS bw, height AS bh, "left" + ((run_id // 50) % 7 - 3) AS cl, top AS ct, CASE WHEN (run_id // 50) % 29 = 0 THEN ' ' ELSE '>' || str || '-' || (run_id // 50) % 97 END AS value FROM text_run WHERE run_id % 50 = 0),
@@ -267,6 +304,12 @@ w AS (SELECT *, greatest(base_width, c * s * 0.52::DOUBLE * 1.0 + 2.0 * 2 + 4 +
 SELECT doc_id, round(sum(CASE WHEN c > 0 THEN greatest(6.0, least(room, wide)) ELSE base_width END), 6) AS widths, round(sum(CASE WHEN c > 0 THEN greatest(base_height, s * 1.2::DOUBLE + 1.0 * 2, 10.0) ELSE base_height END), 6) AS heights FROM w GROUP BY doc_id""",
     "letter_spacing": f"""{_W}, s AS (SELECT *, greatest(-120.0, least(320.0, (k % 7 * 100 - 200)::DOUBLE)) AS sp FROM judged WHERE k % 2 = 0), c AS (SELECT *, is_deleted OR k % 5 = 1 OR k % 9 = 1 OR k % 8 = 2 OR k % 11 = 1 OR k % 13 = 1 OR abs(sp) > 0.01 AS on_ FROM s)
 SELECT doc_id, count(*) FILTER (WHERE on_) AS edited, round(sum(CASE WHEN on_ THEN sp ELSE 0.0 END), 6) AS spacing FROM c GROUP BY doc_id""",
+    "clear_page": f"""{_W}, o AS (SELECT *, k % 11 <> 0 AS is_box FROM ready WHERE k % 11 <> 0 OR k % 33 = 0), b AS (SELECT *, is_box AND (has_edit OR is_deleted OR moved) AS back FROM o)
+SELECT doc_id, page_index, count(*) AS objects, count(*) FILTER (WHERE has_edit AND NOT back) AS edited, round(sum(CASE WHEN back THEN base_left ELSE "left" END), 6) AS lefts, round(sum(CASE WHEN back THEN base_top ELSE top END), 6) AS tops FROM b GROUP BY ALL""",
+    "duplicate_objects": f"""{_W}, d AS (SELECT doc_id, "left" AS l, 0 AS copy FROM ready UNION ALL SELECT doc_id, "left" + 24.0, 1 FROM ready WHERE k % 2 = 0 AND k % 11 = 0 AND k % 33 <> 0) SELECT doc_id, count(*) AS objects, CAST(sum(copy) AS BIGINT) AS copies, round(sum(l), 6) AS lefts FROM d GROUP BY doc_id""",
+    "selected_boxes": f"{_W} SELECT doc_id, count(*) AS boxes FROM ready WHERE k % 21 = 4 AND k % 11 <> 0 GROUP BY doc_id",
+    "auto_match": f"{_W} SELECT doc_id, count(*) FILTER (WHERE is_deleted OR k % 5 = 1) AS plain, count(*) FILTER (WHERE is_deleted OR coalesce(edited_text, '') <> original_text) AS compat FROM box GROUP BY doc_id",
+    "vector_ops": f"""WITH {OP_SQL} SELECT op_seq, round((cl + 1.0 + 0.25) * 0.5::DOUBLE, 6) AS x, round(320.0 - (ct + 0.5 + 0.0 + 12.0 * 0.8::DOUBLE) * 0.5::DOUBLE, 6) AS y, 6.0::DOUBLE AS size, abs((k % 5 * 20 - 40.0::DOUBLE) / 1000) > 0.001 OR abs(greatest(0.5, least(2.2, k % 4 * 0.1::DOUBLE + 0.85::DOUBLE)) - 1) > 0.015 AS own_glyphs FROM op WHERE trim(value) <> ''""",
     "op_page_group": f"""WITH {OP_SQL}, p AS (SELECT doc_id, CASE WHEN k % 31 = 0 THEN -1 ELSE page_index END AS page_index, op_seq FROM op) SELECT doc_id, page_index, count(*) AS n_ops, string_agg(CAST(op_seq AS VARCHAR), ',' ORDER BY op_seq) AS ops FROM p WHERE page_index >= 0 AND page_index < 2 GROUP BY ALL""",
     "span_match_iou": f"WITH {OP_SQL} SELECT doc_id, page_index, op_seq, span_seq, round(score, 6) AS score FROM op LEFT JOIN best USING (op_seq)",
     "op_resolve": f"""WITH {OP_SQL}, {_FONTS}, j AS (SELECT o.*, s.span_seq IS NOT NULL AS has, ssize, color, sl / 2 AS sl, st / 2 AS st, sl / 2 AS ox, oy / 2 AS oy, {_export_token("coalesce(sfont, '')")} AS token FROM op o LEFT JOIN best USING (op_seq) LEFT JOIN span s USING (span_seq) WHERE trim(o.value) <> ''),

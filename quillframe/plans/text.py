@@ -133,6 +133,15 @@ def font_xref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", F.when(F.coalesce("xref", F.lit(0)) == 0, fallback).otherwise(F.concat(F.lit("xf"), F.col("xref").cast("string"))).alias("font"))
 
 
+def font_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an edit is exported with: its own font if its file is known, else the standard one."""
+    f = named_fonts(spark, sf_dir)
+    faces = spark.createDataFrame([("jetbrains mono", "https://e.x/j.woff2"), ("caveat", "data:font/woff2;base64,AA")], "token string, url string")
+    out = font.with_face(f, F.col("family"), faces)
+    standard = font.standard_font(F.col("family"), F.col("weight"), F.col("style"))
+    return out.select("k", F.coalesce(F.when(F.col("url").isNotNull(), F.col("primary")), standard["label"]).alias("label"), (F.col("url").isNull() & standard["fallback"]).alias("fallback"))
+
+
 def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
     k = F.col("page_id")
@@ -147,7 +156,7 @@ def icon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", x["icon"].alias("icon"), x["label"].alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (text_run_layout, text_normalize, box_normalize, ocr_filter, box_union, scan_once, box_build, font_tokens, font_canonical, font_standard, font_family_split, font_xref_resolve, file_names, icon_labels)}
+QUERIES = {f.__name__: f for f in (text_run_layout, text_normalize, box_normalize, ocr_filter, box_union, scan_once, box_build, font_tokens, font_canonical, font_standard, font_family_split, font_xref_resolve, font_inspect, file_names, icon_labels)}
 
 
 def _trim(x: str) -> str:
@@ -258,6 +267,10 @@ SELECT k, array_to_string(l, '|') AS families, coalesce(list_filter(l, lambda x:
 tok AS (SELECT seq * 2 AS o, xref, {_export_token("base")} AS token FROM fonts UNION ALL SELECT seq * 2 + 1, xref, {_export_token("res")} FROM fonts), known AS (SELECT token, arg_min(xref, o) AS xref FROM tok WHERE token <> '' GROUP BY token),
 t AS (SELECT k, lower(family) AS f, lower(weight) AS w, lower(style) AS s, {_export_token("family")} AS token FROM named)
 SELECT k, CASE WHEN coalesce(xref, 0) = 0 THEN {_standard("f", "w", "s", False, True)} ELSE 'xf' || xref END AS font FROM t LEFT JOIN known USING (token)""",
+    "font_inspect": f"""WITH {NAMED_SQL}, l AS (SELECT *, list_filter(list_transform(regexp_extract_all(family, '((?:''[^'']*''|"[^"]*"|[^,''"])+)', 1), lambda x: {_unquoted("x")}), lambda x: x <> '' AND lower(x) NOT IN {GENERIC})[1] AS head, lower(family) AS f, lower(weight) AS w, lower(style) AS s FROM named),
+n AS (SELECT * EXCLUDE (name), lower(coalesce(head, '')) IN ('jetbrains mono', 'caveat') AS own, {_standard("f", "w", "s", False, False)} AS name FROM l)
+SELECT k, CASE WHEN own THEN head ELSE trim(replace(replace(replace(replace(replace(name, 'Times', 'Times '), 'Courier', 'Courier '), 'Helvetica', 'Helvetica '), 'Bold', 'Bold '), '  ', ' ')) END AS label,
+  NOT own AND NOT ({" OR ".join(f"contains(f, '{m}')" for m in (*font.TIMES, *font.COURIER, *font.HELVETICA))} OR regexp_matches(replace(f, 'sans-serif', ''), '\\bserif\\b')) AS fallback FROM n""",
     "file_names": f"""WITH n AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN '' ELSE regexp_extract(url, '([^/]*)/?$', 1) END || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' ELSE ' .jpeg' END AS name FROM pages)
 SELECT page_id, coalesce(nullif({_trim("regexp_replace(name, '\\.[^.]+$', '')")}, ''), 'converted-image') AS image_stem, coalesce(nullif({_trim("regexp_replace(name, '(?i)\\.pdf$', '')")}, ''), 'edited-document') AS pdf_stem, 'page-' || lpad(CAST(page_id AS VARCHAR), greatest(3, length(CAST(page_id AS VARCHAR)))::INTEGER, '0') || '.png' AS page_name,
   page_id % 5 = 0 OR regexp_matches(name, '(?i)\\.(png|jpe?g)$') AS is_image, regexp_matches(name, '(?i)\\.pdf$') AS is_pdf, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM n""",
