@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 
 from ._text import word_hashes
 
@@ -21,14 +22,16 @@ class Memo:
     """``encode`` gives the ids of byte strings. Two generations are kept: when the younger is full it
     becomes the elder, and what is met again moves back."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype=np.uint16):
-        self.encode, self.dtype, self.young, self.old, self.held = encode, np.dtype(dtype), {}, {}, 0
+    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype=np.uint16, keep: int = KEEP_BYTES):
+        self.keep, self.encode, self.dtype, self.young, self.old, self.held = keep, encode, np.dtype(dtype), {}, {}, 0
 
     def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after another, number of ids of each unit)."""
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        _, first, inverse = np.unique(word_hashes(raw, start, end, lower=False), return_index=True, return_inverse=True)
+        inverse, distinct = pd.factorize(word_hashes(raw, start, end, lower=False))
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
         text = raw.tobytes()
         keys = [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         found = list(map(self.young.get, keys))
@@ -45,7 +48,7 @@ class Memo:
                 if len(keys[i]) <= LONGEST:
                     self.young[keys[i]] = found[i]
                     self.held += ENTRY_BYTES + len(keys[i]) + len(found[i]) * size
-            if self.held > KEEP_BYTES:
+            if self.held > self.keep:
                 self.young, self.old, self.held = {}, self.young, 0
         flat = np.frombuffer(b"".join(found), dtype=self.dtype)
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.dtype.itemsize
@@ -56,9 +59,9 @@ _kept: dict[object, object] = {}
 
 
 def kept(key: object, make: Callable[[], object]) -> object:
-    """What ``make`` gave before under this key in this worker; the two latest keys are held."""
+    """What ``make`` gave before under this key in this worker; the latest key is held."""
     if key not in _kept:
-        while len(_kept) > 1:
+        while _kept:
             _kept.pop(next(iter(_kept)))
         _kept[key] = make()
     return _kept[key]

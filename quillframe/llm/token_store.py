@@ -41,6 +41,7 @@ from ._text import GROUP_BYTES, LOWER, SPACE, _powers, buffers, groups, mix, sca
 
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 STEP = 1 << 18
+MOST_WRITTEN = 200_000
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
@@ -81,6 +82,7 @@ def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         words = kept(("tokenizer", hashlib.sha256(tokenizer.encode()).digest(), width), lambda: Words(tokenizer, dtype))
         run = words.run
+        written: set[bytes] = set()  # of this task: a chunk's bytes leave it once
         for batch in batches:
             ids = batch.column("doc_id")
             for first, ids_of_all, edges in _by_word(batch, words) if by_word else _whole(batch, run, dtype):
@@ -97,7 +99,10 @@ def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
                     own = [hashlib.sha256(p).digest()[:16] for p in parts]
                     n.append(b - a)
                     digests.append(own)
-                    payloads.append(parts)
+                    payloads.append([None if d in written else p for d, p in zip(own, parts, strict=True)])
+                    written.update(own)
+                    if len(written) > MOST_WRITTEN:
+                        written.clear()
                     roots.append(hashlib.sha256(b"".join(own)).digest())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(first, len(n)), pa.array(n, pa.int64()), pa.array(digests, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary())), pa.array(roots, pa.binary())],
@@ -242,8 +247,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     )
     encoded = scratch.table(encoded, "encoded")
     pieces = encoded.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("ids"))
-    # equal digests hold equal bytes, so any one of them may stand for all; merged map-side first
-    pieces.groupBy("digest").agg(F.max("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    # equal digests hold equal bytes, so any one of them may stand for all; each task sends a chunk once
+    pieces.where("ids IS NOT NULL").repartition("digest").groupBy("digest").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
     ranged = encoded.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     numbered = ranged.mapInArrow(_number, "doc_id long, n_tokens long, digests array<binary>, root binary, local_start long, place long")
     numbered.withColumn("part", F.spark_partition_id()).write.parquet(f"{folder}/recipes")
