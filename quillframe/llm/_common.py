@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,18 @@ class Scratch:
             pass
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024):
+    """Arrow batches of at most ``rows`` rows for what runs inside; long texts and wide keys then take little memory in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast; whatever else the input has (clashing names too) is left out."""
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])

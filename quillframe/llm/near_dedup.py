@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, pick
+from ._common import Scratch, pick, small_batches
 from ._components import components
 from ._text import mix, scan, shingle_sets
 
@@ -222,14 +222,20 @@ def _spanning(least: float, percent: int):
             return {"shingles": out}
 
         for g in _groups(batches, shingles):
-            cand, pairs = np.flatnonzero(g["cand"]), []
+            cand = np.flatnonzero(g["cand"])
+            shares, asking, asked = [], [], []
             for q in np.flatnonzero(g["query"]):
                 c, share = _near(g, q, cand, least)
-                pairs.append(np.column_stack([-share, np.full(len(c), q), c]))
-            if not pairs or not sum(map(len, pairs)):
+                shares.append(share.astype(np.float32))
+                asking.append(np.full(len(c), q, dtype=np.int32))
+                asked.append(c.astype(np.int32))
+            if not shares:
                 continue
-            pairs = np.concatenate(pairs)
-            pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
+            # nearest first; twelve bytes a pair, PAIRS of them at most
+            share, asking, asked = np.concatenate(shares), np.concatenate(asking), np.concatenate(asked)
+            del shares
+            order = np.argsort(-share, kind="stable").astype(np.int32)
+            del share
             up: dict[int, int] = {}
 
             def top(x: int) -> int:
@@ -237,19 +243,18 @@ def _spanning(least: float, percent: int):
                     up[x] = x = up.get(up[x], up[x])
                 return x
 
-            a, b, sets = [], [], {}
-            for q, c in pairs[:, 1:].astype(np.int64).tolist():
-                x, y = top(int(g["root"][q])), top(int(g["root"][c]))
-                if x == y:
-                    continue
-                for i in (q, c):
-                    if i not in sets:
-                        sets[i] = np.frombuffer(g["shingles"][i], np.uint64)
-                if linked(sets[q], sets[c], percent):
-                    up[x] = y
-                    a.append(int(g["doc"][q]))
-                    b.append(int(g["doc"][c]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            root, a, b = g["root"].tolist(), [], []
+            sets = [np.frombuffer(x, np.uint64) for x in g["shingles"]]
+            for start in range(0, len(order), 65_536):
+                part = order[start : start + 65_536]
+                for q, c in zip(asking[part].tolist(), asked[part].tolist(), strict=True):
+                    x, y = top(root[q]), top(root[c])
+                    if x != y and linked(sets[q], sets[c], percent):
+                        up[x] = y
+                        a.append(int(g["doc"][q]))
+                        b.append(int(g["doc"][c]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return spanning
 
@@ -310,8 +315,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     give repeated results; a repeated doc_id with another text follows its own text, and the smaller
     id stays the name of both. A row without doc_id takes no part: no component, kept.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, k, percent, trees)
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
+    scratch = Scratch(docs.sparkSession, "near")
     base = pick(docs, doc_id="long", text="string")
     sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
     taking = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
