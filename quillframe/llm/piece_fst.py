@@ -137,7 +137,7 @@ class Machine:
         known = self.beside.get(key)
         if known is None:
             a, b = self.pieces[t][0], self.pieces[u][0]
-            if len(self.beside) > 400_000:
+            if len(self.beside) > 200_000:
                 self.beside.clear()
             known = self.beside[key] = self.merged(a + b) == [a, b]
         return known
@@ -239,7 +239,7 @@ class Units:
 
     def __init__(self, machine: Machine):
         self.m = machine
-        self.memo = Memo(lambda keys: [machine.path(machine.normalise(k.decode("utf-8", "replace"), begins=False)) for k in keys], np.uint16 if len(machine.pieces) <= 1 << 16 else np.uint32)
+        self.memo = Memo(lambda keys: [machine.path(machine.normalise(k.decode("utf-8", "replace"), begins=False)) for k in keys], np.uint16 if len(machine.pieces) <= 1 << 16 else np.uint32, keep=16 << 20)
         spelled = machine.spelled()
         self.size = np.array([len(s) for s in spelled], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
