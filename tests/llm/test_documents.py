@@ -178,6 +178,47 @@ def test_chain_scores_match_brute_force(found):
     assert total == pytest.approx(max(best))
 
 
+def fresh_words(tag, n):
+    return [f"{tag}{zlib.crc32(f'{tag} {i}'.encode()):x}" for i in range(n)]
+
+
+@pytest.mark.parametrize(("size", "between"), [(100, 100), (60, 45), (100, 20)])
+def test_passages_with_other_words_between_are_both_found(spark, size, between):
+    x, y = fresh_words("x", size), fresh_words("y", size)
+    rows = [(i, " ".join(fresh_words(f"a{i}", 30) + x + fresh_words(f"b{i}", between) + y + fresh_words(f"c{i}", 30)), "en", "s") for i in (1, 2)]
+    got = passages.repeated_passages(frame(spark, rows)).collect()
+    spans = sorted((r["start_word"], r["end_word"], r["edits"]) for r in got)
+    if between == 20:
+        assert spans == [(30, 50 + 2 * size, 20)]
+    else:
+        assert spans == [(30, 30 + size, 0), (30 + size + between, 30 + 2 * size + between, 0)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.booleans(), st.integers(1, 30)), min_size=1, max_size=12))
+def test_parts_hold_the_longest_stretch(stretches):
+    same = np.concatenate([np.full(n, s) for s, n in stretches])
+    a = np.arange(len(same), dtype=np.uint32)
+    b = np.where(same, a, a + 1000).astype(np.uint32)
+    found = passages.parts(a, b, np.array([[0, 0, len(a)]]), 20, 0.8)
+    edge = np.concatenate([[0], np.cumsum(same)])
+    whole = [(j - i, i, j) for i in range(len(a)) for j in range(i + 20, len(a) + 1) if 5 * (edge[j] - edge[i]) >= 4 * (j - i) and same[i] and same[j - 1]]
+    assert bool(found) == bool(whole)
+    assert sum(x1 - x0 for x0, x1, *_ in found) <= len(a)
+    for x0, x1, y0, y1, wrong, length in found:
+        assert (x0, x1) == (y0, y1) and length == x1 - x0 >= 20 and wrong == int((~same[x0:x1]).sum()) and 5 * (length - wrong) >= 4 * length
+    taken = np.zeros(len(a), bool)
+    for x0, x1, *_ in found:
+        assert not taken[x0:x1].any()
+        taken[x0:x1] = True
+    # what is wholly equal and long enough is never lost
+    at = 0
+    for s, n in stretches:
+        if s and n >= 20:
+            assert taken[at : at + n].all()
+        at += n
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 3), max_size=9), st.lists(st.integers(0, 3), max_size=9))
 def test_edit_distance(a, b):
