@@ -194,6 +194,35 @@ def test_passages_with_other_words_between_are_both_found(spark, size, between):
         assert spans == [(30, 30 + size, 0), (30 + size + between, 30 + 2 * size + between, 0)]
 
 
+def test_a_passage_whose_parts_first_stood_apart_is_found(spark):
+    # 3, 4 and 7 of each ten share X + Y, whose parts stand alone before and between
+    rows, want = [], set()
+    for t in range(0, 160, 10):
+        x, y, z = (fresh_words(f"{c}{t}", n) for c, n in (("x", 30), ("y", 30), ("z", 80)))
+        for i, m in enumerate([x, y, x + y, x + y, x, y, x + y, z, z], t + 1):
+            rows.append((i, " ".join(fresh_words(f"a{i}", 40) + m + fresh_words(f"b{i}", 40)), "en", "s"))
+        want |= {(t + 4, 40, 100, t + 3, 40, 100, 0), (t + 7, 40, 100, t + 3, 40, 100, 0), (t + 9, 40, 120, t + 8, 40, 120, 0)}
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["ref_doc_id"], r["ref_start_word"], r["ref_end_word"], r["edits"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_every_exact_repeat_of_scattered_parts_is_covered(spark):
+    rng = np.random.default_rng(5)
+    pieces = [fresh_words(f"p{i}", 17) for i in range(24)]
+    rows = [(d, " ".join(sum((pieces[i] for i in rng.integers(0, 24, 12)), [])), "en", "s") for d in range(120)]
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(frame(spark, rows)).collect():
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    first, missed, need = {}, 0, 0
+    for d, t, _, _ in rows:
+        w = words_of(t)
+        for i in range(len(w) - 49):
+            if first.setdefault(tuple(w[i : i + 50]), d) != d:
+                need += 1
+                missed += not covered[d] >= set(range(i, i + 50))
+    assert need > 100 and not missed
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.tuples(st.booleans(), st.integers(1, 30)), min_size=1, max_size=12))
 def test_parts_hold_the_longest_stretch(stretches):
