@@ -206,6 +206,20 @@ def test_a_passage_whose_parts_first_stood_apart_is_found(spark):
     assert got == want
 
 
+def test_passages_with_edits_are_found(spark):
+    rng = np.random.default_rng(7)
+    rows, pairs = [], 60
+    for t in range(pairs):
+        p = fresh_words(f"p{t}", 60)
+        q = list(p)
+        for i in rng.choice(60, 6 if t % 2 else 9, replace=False):
+            q[i] = f"edit{t}at{i}"
+        rows += [(2 * t + k, " ".join(fresh_words(f"a{t} {k}", 60) + m + fresh_words(f"b{t} {k}", 60)), "en", "s") for k, m in enumerate((p, q))]
+    got = {r["doc_id"]: r for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert all(r["ref_doc_id"] == d - 1 and r["identity"] >= 0.8 for d, r in got.items())
+    assert len(got) >= 0.95 * pairs
+
+
 def test_every_exact_repeat_of_scattered_parts_is_covered(spark):
     rng = np.random.default_rng(5)
     pieces = [fresh_words(f"p{i}", 17) for i in range(24)]
