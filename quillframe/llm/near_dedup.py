@@ -1,12 +1,14 @@
 """MinHash near-dedup by a chosen-path similarity join.
 
 Documents with the same shingle set are one class; classes carry ``COORDS`` minwise tokens. In each
-of ``trees`` independent trees a class descends from the root to ``BRANCH`` children, each named by
+of ``trees`` trees a class descends from the root to ``BRANCH`` children, each named by
 a coordinate that the node's seed selects and the class's token there. Similar sets agree on most
 tokens and so share paths; unrelated ones part at once. Nodes that are small enough are compared
-exhaustively; larger ones branch again. With two branches and similarity s, the chance that a pair
+exhaustively; larger ones branch again. With two branches, the chance that a pair
 shares no small node in a tree is at most the extinction probability q of q = (1 - s + s*q)^2,
-which is 0.031 at s = 0.85 (0.0625 at s = 0.8), so 6 trees miss a link with a chance below 1e-8 (6e-8).
+where s is the share of tokens the pair agrees on. The trees draw from the same ``COORDS`` tokens, so
+they aren't independent: averaged over Binomial(COORDS, similarity) agreeing tokens, the bound on the
+chance that all 6 miss a link is 3.3e-7 at a similarity of 0.85 (1.1e-5 at 0.8).
 
 Comparing is in two steps. Fingerprints of ``BINS`` bytes (the least shingle of each bin; for short
 texts nearly the set itself) tell which members of a node have a partner within ``SLACK`` of the
