@@ -9,9 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 
-from ._text import word_hashes
+from ._text import distinct
 
 KEEP_BYTES = 40 << 20
 ENTRY_BYTES = 180
@@ -19,35 +18,36 @@ LONGEST = 64
 
 
 class Memo:
-    """``encode`` gives the ids of byte strings. Two generations are kept: when the younger is full it
+    """``encode`` gives (ids of byte strings one after another, how many each has). Two generations are kept: when the younger is full it
     becomes the elder, and what is met again moves back."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[np.ndarray]], dtype=np.uint16, keep: int = KEEP_BYTES):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, keep: int = KEEP_BYTES):
         self.keep, self.encode, self.dtype, self.young, self.old, self.held = keep, encode, np.dtype(dtype), {}, {}, 0
 
     def __call__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units one after another, number of ids of each unit)."""
         if not len(start):
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        inverse, distinct = pd.factorize(word_hashes(raw, start, end, lower=False))
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[inverse[::-1]] = np.arange(len(inverse) - 1, -1, -1)
+        first, inverse = distinct(raw, start, end)
         text = raw.tobytes()
         keys = [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         found = list(map(self.young.get, keys))
         missing = [i for i, f in enumerate(found) if f is None]
         if missing:
-            new, size = [], self.dtype.itemsize
+            new = []
             for i in missing:
                 f = found[i] = self.old.get(keys[i])
                 if f is None:
                     new.append(i)
-            for i, ids in zip(new, self.encode([keys[i] for i in new]) if new else (), strict=True):
-                found[i] = ids.astype(self.dtype, copy=False).tobytes() if isinstance(ids, np.ndarray) else np.array(ids, dtype=self.dtype).tobytes()
+            if new:
+                flat, size = self.encode([keys[i] for i in new])
+                held, edge = flat.astype(self.dtype, copy=False).tobytes(), (np.cumsum(size) * self.dtype.itemsize).tolist()
+                for i, a, b in zip(new, [0, *edge], edge, strict=False):
+                    found[i] = held[a:b]
             for i in missing:
                 if len(keys[i]) <= LONGEST:
                     self.young[keys[i]] = found[i]
-                    self.held += ENTRY_BYTES + len(keys[i]) + len(found[i]) * size
+            self.held += sum(ENTRY_BYTES + len(keys[i]) + len(found[i]) for i in missing if len(keys[i]) <= LONGEST)
             if self.held > self.keep:
                 self.young, self.old, self.held = {}, self.young, 0
         flat = np.frombuffer(b"".join(found), dtype=self.dtype)

@@ -16,10 +16,12 @@ linear in those of its parts), so chunk payloads never cross the network a secon
 ``read_store`` rebuilds the id arrays themselves.
 
 Words are encoded once per distinct unit and slice and then gathered, which equals encoding whole
-texts for tokenizers that cut at white space and drop it (``by_word``); others encode whole texts.
+texts for tokenizers that cut at white space and drop it; whether one does is probed, and others encode whole texts.
+Words that may hold an added token, or characters other than ASCII, go to the tokenizer as they are.
 
 Defined cases: a null or empty text is the end id alone. Repeated rows are stored as rows of their
-own, sharing chunks. Null ids come first. Nothing but doc_id and text is stored.
+own, sharing chunks. Null ids come first. Nothing but doc_id and text is stored, so other columns may
+have any name. Very long texts are encoded whole, in one slice each. An empty table gives an empty store.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,27 +39,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import Scratch, pick
-from ._memo import Memo, kept
-from ._text import GROUP_BYTES, LOWER, SPACE, _powers, buffers, groups, mix, scan
+from ._memo import Memo, gather, kept
+from ._text import GROUP_BYTES, SPACE, buffers, groups, mix, scan
 
 WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
 STEP = 1 << 18
 MOST_WRITTEN = 200_000
+ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def cut_points(ids: np.ndarray) -> np.ndarray:
     """Positions after which the rolling hash of the last WINDOW ids asks for a cut."""
     found = []
-    powers, inverse = _powers(STEP + WINDOW + 1)
     for at in range(0, len(ids), STEP):
         lo = max(0, at - WINDOW + 1)
-        part = mix(ids[lo : at + STEP].astype(np.uint64) + np.uint64(1))
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(part * powers[: len(part)], out=total[1:])
-        if len(part) < WINDOW:
+        h = mix(ids[lo : at + STEP].astype(np.uint64) + np.uint64(1))
+        if len(h) < WINDOW:
             continue
-        h = mix((total[WINDOW:] - total[:-WINDOW]) * inverse[: len(part) - WINDOW + 1])
-        found.append(np.flatnonzero((h & np.uint64(MEAN - 1)) == 0) + lo + WINDOW)
+        size, factor = 1, ROLL
+        while size < WINDOW:  # each step hashes runs twice as long
+            h = h[:-size] + h[size:] * factor
+            size, factor = 2 * size, ROLL ** np.uint64(2 * size)
+        found.append(np.flatnonzero((mix(h) & np.uint64(MEAN - 1)) == 0) + lo + WINDOW)
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
@@ -73,7 +77,7 @@ def chunk_bounds(n: int, cuts: np.ndarray) -> list[int]:
     return out
 
 
-def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
+def _encoder(tokenizer: str, end_id: int, width: int):
     dtype = np.uint16 if width == 2 else np.uint32
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +89,7 @@ def _encoder(tokenizer: str, end_id: int, by_word: bool, width: int):
         written: set[bytes] = set()  # of this task: a chunk's bytes leave it once
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, ids_of_all, edges in _by_word(batch, words) if by_word else _whole(batch, run, dtype):
+            for first, ids_of_all, edges in _by_word(batch, words) if words.by_word else _whole(batch, run, dtype):
                 n, digests, payloads, roots = [], [], [], []
                 # the end id goes behind each document
                 flat = np.insert(ids_of_all, edges[1:], dtype(end_id))
@@ -116,8 +120,10 @@ class Words:
     """Encodes whole columns by distinct units of words.
 
     A word is a unit; it is further cut between ASCII letters and ASCII marks, where the tokenizer's
-    own splitting cuts too, unless it holds an apostrophe (contractions) or a character of an added
-    token. Letters are lowered first if the tokenizer lowers them.
+    own splitting cuts too, unless it holds an apostrophe (contractions) or a mark that an added
+    token holds. Added tokens are told by their own spelling, and lower case may change how characters
+    compose, so only words of ASCII characters that can't begin an added token are lowered here, and
+    only for tokenizers that lower them.
     """
 
     def __init__(self, text: str, dtype):
@@ -135,11 +141,27 @@ class Words:
         self.letter = ((codes >= 65) & (codes <= 90)) | ((codes >= 97) & (codes <= 122))
         self.mark = (codes < 128) & ~self.letter & ~SPACE
         self.glue = np.zeros(256, dtype=bool)
-        for c in {"'", *"".join(t["content"] for t in told.get("added_tokens") or [])}:
+        added = [t["content"] for t in told.get("added_tokens") or []]
+        for c in {"'", *"".join(added)}:
             if ord(c) < 128 and not self.letter[ord(c)]:
                 self.glue[ord(c)] = True
+        #: bytes that keep a word as it is written
+        self.asis = codes >= 128
+        self.asis[[ord(t[0]) for t in added if ord(t[0]) < 128]] = True
         self.memo = Memo(self.encode, dtype)
-        self.by_run = self.cuts_at_marks()
+        self.by_word = self.cuts_at_space(added)
+        self.by_run = self.by_word and self.cuts_at_marks()
+
+    def cuts_at_space(self, added: list[str]) -> bool:
+        """Whether words encode alike apart and together, on probes with every white space; no added token may hold any."""
+        if any(SPACE[b] for t in added for b in t.encode()) or any(self.letter[ord(t[0])] for t in added if ord(t[0]) < 128):
+            return False
+        words = ["Word", "!?", "12", "don't", "\u00e9t\u00e9", "\u0301x", "\u4e2d", "a_b", *added]
+        spaces = [chr(c) for c in np.flatnonzero(SPACE)]
+        probes = [t for s in spaces for t in (s + s.join(words) + s, s + s)]
+        got = [e.ids for e in self.run(probes, add_special_tokens=False)]
+        once = sum((e.ids for e in self.run(words, add_special_tokens=False)), [])
+        return all(ids == (once if i % 2 == 0 else []) for i, ids in enumerate(got))
 
     def cuts_at_marks(self) -> bool:
         """Whether letters and marks encode alike apart and together, on probes of every ASCII mark."""
@@ -150,23 +172,26 @@ class Words:
         parts = [e.ids for e in self.run(apart, add_special_tokens=False)]
         return sum(ids, []) == sum(parts, [])
 
-    def encode(self, keys: list[bytes]) -> list[np.ndarray]:
-        texts = [k.decode("utf-8", "replace") for k in keys]
-        out: list[np.ndarray | None] = [None] * len(texts)
-        if self.suffix:  # a run of letters ends where a piece has the suffix, so runs can share a call
-            alike = [i for i, t in enumerate(texts) if t.isalpha()]
-            (joined,) = self.run([" ".join([texts[i] for i in alike])], add_special_tokens=False)
-            ids = np.array(joined.ids, dtype=np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, np.int64)
-            if len(ends) == len(alike):
-                at = 0
-                for i, end in zip(alike, ends.tolist(), strict=True):
-                    out[i] = ids[at:end]
-                    at = end
-        rest = [i for i, o in enumerate(out) if o is None]
-        for i, e in zip(rest, self.run([texts[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, dtype=np.int64)
-        return out
+    def encode(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys one after another, number of ids of each)."""
+        texts = b" ".join(keys).decode("utf-8", "replace").split(" ")
+        alike = np.fromiter(map(str.isalpha, texts), dtype=bool, count=len(texts)) & bool(self.suffix)
+        size, flat = np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.int64)
+        if alike.any():  # a run of letters ends where a piece has the suffix, so runs can share a call
+            (joined,) = self.run([" ".join([t for t, a in zip(texts, alike.tolist(), strict=True) if a])], add_special_tokens=False)
+            flat = np.array(joined.ids, dtype=np.int64)
+            ends = np.flatnonzero(self.ends[flat]) + 1
+            if len(ends) == alike.sum():
+                size[alike] = np.diff(ends, prepend=0)
+            else:
+                alike[:], flat = False, flat[:0]
+        rest = [e.ids for e in self.run([t for t, a in zip(texts, alike.tolist(), strict=True) if not a], add_special_tokens=False)]
+        size[~alike] = [len(ids) for ids in rest]
+        flat = np.concatenate([flat, np.array(list(chain.from_iterable(rest)), dtype=np.int64)])
+        order = np.argsort(~alike, kind="stable")  # as they stand in ``flat``
+        start = np.empty(len(texts), dtype=np.int64)
+        start[order] = np.cumsum(size[order]) - size[order]
+        return gather(flat, start, size, np.arange(len(texts)))
 
     def units(self, w, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends in ``raw``, the slice's bytes."""
@@ -186,13 +211,25 @@ def _by_word(batch: pa.RecordBatch, words: Words) -> Iterator[tuple[int, np.ndar
     _, at = buffers(batch.column("text"))
     for w in scan(batch.column("text"), hashes=False, most=3 * GROUP_BYTES):
         own = at[w.first : w.first + len(w.count) + 1]
-        raw = w.raw[own[0] : own[-1]]
-        raw = LOWER[raw] if words.lower else raw
-        start, end = words.units((w.start - own[0], w.end - own[0]), raw)
+        raw, start, end = w.raw[own[0] : own[-1]], w.start - own[0], w.end - own[0]
+        if words.lower and len(start):
+            raw = lowered(raw, start, words.asis)
+        start, end = words.units((start, end), raw)
         ids, n = words.memo(raw, start, end)
         yield w.first, ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, own - own[0])]
 
 
+def lowered(raw: np.ndarray, start: np.ndarray, asis: np.ndarray) -> np.ndarray:
+    """``raw`` with ASCII capitals lowered, but in words with a byte that ``asis`` marks."""
+    capital = np.flatnonzero((raw >= 65) & (raw <= 90))
+    kept = np.zeros(len(start), dtype=bool)
+    kept[np.searchsorted(start, np.flatnonzero(asis[raw]), side="right") - 1] = True
+    capital = capital[~kept[np.searchsorted(start, capital, side="right") - 1]]
+    out = raw.copy()
+    out[capital] += 32
+    return out
+
+
 def _whole(batch: pa.RecordBatch, run, dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     texts = batch.column("text")
     for i, j in groups(buffers(texts)[1]):
@@ -234,7 +271,7 @@ def _top(parts: pd.DataFrame) -> bytes:
     return hashlib.sha256(b"".join(bytes(x) for x in parts["digest"])).digest()
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, by_word: bool = True) -> str:
+def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2) -> str:
     """Encode ``docs`` (doc_id, text) into ``folder``; the tokenizer's file is read once, here."""
     from tokenizers import Tokenizer
 
@@ -243,7 +280,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
     width = 2 if max(Tokenizer.from_str(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     scratch = Scratch(docs.sparkSession, "encoded")
     encoded = pick(docs, doc_id="long", text="string").mapInArrow(
-        _encoder(tokenizer, end_id, by_word, width), "doc_id long, n_tokens long, digests array<binary>, payloads array<binary>, root binary"
+        _encoder(tokenizer, end_id, width), "doc_id long, n_tokens long, digests array<binary>, payloads array<binary>, root binary"
     )
     encoded = scratch.table(encoded, "encoded")
     pieces = encoded.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("ids"))
