@@ -382,8 +382,51 @@ def test_store_of_nothing(spark, tmp_path):
     assert token_store.verify_store(spark, folder).count() == 0
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+#: words of equal polynomial hash, and what lower case would spoil
+ODD_WORDS = [thue_morse(n, *x) for n in (64, 1024, 2048, 4096) for x in (("a", "b"), ("b", "a"))] + ["<|ENDOFTEXT|>", "x<|StartOfText|>y", "<|endoftext|>", "J\u030c", "T\u0308T", "DON'T"]
+
+
+def test_words_of_equal_bytes_alone_are_one():
+    raw = " ".join(ODD_WORDS * 2).encode()
+    text = pa.array([raw.decode()])
+    (w,) = _text.scan(text, hashes=False)
+    first, which = _text.distinct(w.raw, w.start, w.end)
+    assert len(first) == len(ODD_WORDS) and which.tolist() == list(range(len(ODD_WORDS))) * 2
+
+
+def test_colliding_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(_text, "word_hashes", lambda raw, start, end, lower: np.zeros(len(start), np.uint64))
+    words = ["ab", "ab", "abc", "x" * 70, "x" * 69 + "y", "x" * 70, "123456789", "123456780", "ab"]
+    (w,) = _text.scan(pa.array([" ".join(words)]), hashes=False)
+    first, which = _text.distinct(w.raw, w.start, w.end)
+    assert [words[first_at] for first_at in first[which]] == words and len(first) == 6
+
+
+def test_odd_words_are_stored_and_linked_by_their_bytes(spark, tmp_path, pieces):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    rows = [(1, " ".join(ODD_WORDS), "en", "s"), *[(i + 2, f"one two {w}", "en", "s") for i, w in enumerate(ODD_WORDS)]]
+    folder = token_store.write_store(frame(spark, rows), f"file://{tmp_path}/odd", path)
+    assert {r["doc_id"]: list(r["ids"]) for r in token_store.read_store(spark, folder).collect()} == {d: [*tok.encode(t, add_special_tokens=False).ids, 2] for d, t, _, _ in rows}
+    got = {r["doc_id"]: list(r["ids"]) for r in piece_fst.encode_documents(frame(spark, rows), tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got == {d: pieces[1].encode(t) for d, t, _, _ in rows}
+    near = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, [(i, f"{thue_morse(1024, *x)} and then", "en", "s") for i, x in enumerate((("a", "b"), ("b", "a")))]), 3, 85).collect()}
+    assert near == {0: 0, 1: 1}
+
+
+def test_whether_words_stand_alone_is_probed():
+    assert token_store.Words(open(tokenizer_path("word_bpe_49k.json")).read(), np.uint16).by_word
+    assert not token_store.Words(open(tokenizer_path("byte_bpe_50k.json")).read(), np.uint16).by_word
+
+
 @settings(max_examples=80, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "THE", "é", "ß", "İ", "'s", "'", "don't", "<|endoftext|>", "<|", "x,y", "1", "12", "²", "—", "́", " ", "  ", "\n", ".", "!!", "中", "😀"]), max_size=14))
+@given(st.lists(st.sampled_from(["a", "b", "THE", "J", "\u030c", "T", "\u0308", "<|Endoftext|>", "é", "ß", "İ", "'s", "'", "don't", "<|endoftext|>", "<|", "x,y", "1", "12", "²", "—", "́", " ", "  ", "\n", ".", "!!", "中", "😀"]), max_size=14))
 def test_units_encode_as_whole_texts(parts):
     from tokenizers import Tokenizer
 
@@ -423,7 +466,7 @@ def test_pieces_match_on_odd_texts(pieces, parts):
     text = "".join(parts)
     assert machine.encode(text) == library.encode(text)
     units = piece_fst.Units(machine)
-    ((_, ids, edges, _, _),) = units.encode(pa.array([text]))
+    ((_, ids, edges),) = units.encode(pa.array([text]))
     assert ids[edges[0] : edges[1]].tolist() == library.encode(text)
 
 
@@ -456,6 +499,37 @@ def test_unigram_paths_have_the_least_weight():
         whole = machine.normalise(text)
         best = min(-sum(scores[p] for p in cut) for n in range(1, len(whole) + 1) for ends in itertools.combinations(range(1, len(whole)), n - 1) for cut in [[whole[i:j] for i, j in zip((0, *ends), (*ends, len(whole)), strict=True)]] if all(p in scores for p in cut))
         assert -sum(machine.score[i] for i in path) == pytest.approx(best, abs=1e-5)
+        assert machine.paths([whole.replace("▁", " ").encode()])[0].tolist() == path
+
+
+def test_machines_have_states_and_arcs(pieces):
+    machine, _ = pieces
+    states = {0} | set(machine.held.values())
+    assert len(states) == len(machine.accepts) == len(machine.held) + 1
+    assert {i for i in machine.accepts.tolist() if i >= 0} == set(machine.ids.values())
+    assert machine.arcs.n == len(machine.held) and (machine.weight == 0).all()
+    # arcs of a piece, read from its end, lead to the state that accepts it
+    for piece in ("▁the", "ing", "e"):
+        state = 0
+        for c in reversed(piece):
+            state = machine.held[state * machine.width + machine.number[c]]
+        assert machine.accepts[state] == machine.ids[piece]
+    the, t, he = (machine.ids[p] for p in ("▁the", "▁t", "he"))
+    assert machine.beside.one(-1, the) and not machine.beside.one(t, he)
+
+
+def test_every_state_kept_gives_the_same_path(pieces):
+    machine, _ = pieces
+    units = [w.encode() for _, t, _, _ in ROWS[:20] if t for w in t.split(" ") if w] + [b"", "x\u00e9\u4e2d\U0001f600".encode(), b"\xff\xfe"]
+    ids, n = machine.paths(units)
+    want = [machine.shortest(machine.normalise(u.decode("utf-8", "replace"), begins=False)) for u in units]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_round_trip_is_of_the_text_as_it_was(spark):
+    rows = [(1, "a ▁ b", "en", "s"), (2, "a  b ", "en", "s"), (3, " ", "en", "s"), (4, None, "en", "s")]
+    got = {r["doc_id"]: r["round_trip"] for r in piece_fst.encode_digests(frame(spark, rows), tokenizer_path("piece_bpe_32k.model")).collect()}
+    assert got == {1: False, 2: True, 3: True, 4: None}
 
 
 # --- quality
