@@ -71,15 +71,14 @@ scored AS (
 ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10""",
     "op2_line_dedup": r"""
-WITH line AS (
-  SELECT doc_id, source, UNNEST(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
+WITH parted AS (SELECT text, list_filter(string_split_regex(text, '[ \t\n\x0b\x0c\r]+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL GROUP BY text),
+marked AS (SELECT text, CASE WHEN len(ws) >= 3 THEN list_min(list_transform(range(1, len(ws) - 1), lambda i: md5(ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))) ELSE md5(text) END AS mark FROM parted),
+line AS (
+  SELECT doc_id, source, mark, text, UNNEST(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents JOIN marked USING (text)),
 inked AS (
-  SELECT doc_id, source, raw, pos, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
-placed AS (
-  SELECT *, coalesce(lag(k) OVER w, '') AS before, coalesce(lead(k) OVER w, '') AS after FROM inked WHERE k <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-stats AS (
-  SELECT k, count(DISTINCT coalesce('s' || source, '')) AS sites, count(*) AS n, count(DISTINCT before) AS nb, count(DISTINCT after) AS na FROM placed GROUP BY k),
-bad AS (SELECT k FROM stats WHERE sites >= 8 AND greatest(nb, na) >= 0.5 * n),
+  SELECT doc_id, source, mark, text, raw, pos, trim(raw, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k FROM line),
+homes AS (SELECT k, mark, min(coalesce('s' || source, '')) AS home, count(DISTINCT text) AS texts FROM inked WHERE k <> '' GROUP BY k, mark),
+bad AS (SELECT k FROM homes GROUP BY k HAVING count(DISTINCT home) >= 8 AND count(*) >= 0.15 * sum(texts)),
 kept AS (
   SELECT i.doc_id, count(*) AS n_lines, count(b.k) AS n_removed, coalesce(string_agg(i.raw, chr(10) ORDER BY i.pos) FILTER (WHERE b.k IS NULL), '') AS text
   FROM inked i LEFT JOIN bad b USING (k) GROUP BY i.doc_id)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -49,22 +51,29 @@ def test_scan_finds_words_and_equal_hashes(texts):
 # --- line dedup
 
 
-def brute_lines(rows, min_sites, ratio):
-    blank = " \t\n\x0b\x0c\r"
-    sites, before, after, n = defaultdict(set), defaultdict(set), defaultdict(set), Counter()
-    for _, text, _, source in rows:
-        keys = [k for k in (x.strip(blank) for x in (text or "").split("\n")) if k] if text is not None else []
-        for i, k in enumerate(keys):
-            sites[k].add(source)
-            before[k].add(keys[i - 1] if i else None)
-            after[k].add(keys[i + 1] if i + 1 < len(keys) else None)
-            n[k] += 1
-    bad = {k for k in n if len(sites[k]) >= min_sites and max(len(before[k]), len(after[k])) >= ratio * n[k]}
-    return bad, [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(blank) not in bad) for _, t, _, _ in rows]
+BLANK = " \t\n\x0b\x0c\r"
+
+
+def brute_lines(rows, min_sites, share):
+    texts = {t for _, t, _, _ in rows if t is not None}
+    words = {t: [w for w in re.split("[ \t\n\x0b\x0c\r]+", t) if w] for t in texts}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    mark = {t: min((md5(" ".join(w[i : i + 3])) for i in range(len(w) - 2)), default=md5(t)) for t, w in words.items()}
+    sites = defaultdict(set)
+    for _, t, _, source in rows:
+        for k in {x.strip(BLANK) for x in (t or "").split("\n")} - {""}:
+            sites[k, mark[t]].add((source and "s" + source or "", t))
+    homes, n, marks = defaultdict(set), Counter(), Counter()
+    for (k, _), held in sites.items():
+        homes[k].add(min(s for s, _ in held))
+        n[k] += len({t for _, t in held})
+        marks[k] += 1
+    bad = {k for k in n if len(homes[k]) >= min_sites and marks[k] >= share * n[k]}
+    return bad, [None if t is None else "\n".join(x for x in t.split("\n") if x.strip(BLANK) not in bad) for _, t, _, _ in rows]
 
 
 def test_lines_match_brute_force(spark):
-    bad, want = brute_lines(ROWS, 3, 0.5)
+    bad, want = brute_lines(ROWS, 3, 0.15)
     assert "All rights reserved by nobody." in bad
     got = lines.remove_boilerplate(frame(spark), min_sites=3)
     assert Counter(r["text"] for r in got.collect()) == Counter(want)
@@ -72,11 +81,34 @@ def test_lines_match_brute_force(spark):
     assert lines.remove_boilerplate(empty(spark)).count() == 0
 
 
+HEAD, FOOT = ["Site header", "Home News Contact"], ["All rights reserved", "Contact us", "Terms of use"]
+
+
+def test_header_and_footer_blocks_go_whole(spark):
+    rows = [(i, "\n".join([*HEAD, f"body {i} says {i * 7}", *FOOT]), "en", f"s{i % 20}") for i in range(200)]
+    got = lines.remove_boilerplate(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {i: f"body {i} says {i * 7}" for i in range(200)}
+
+
 def test_copied_documents_keep_their_lines(spark):
     rows = [(i, "a b c\nd e f\ng h i", "en", f"s{i}") for i in range(20)]
     assert {r["n_removed"] for r in lines.remove_boilerplate(frame(spark, rows)).collect()} == {0}
 
 
+def test_near_copies_keep_their_lines_and_lose_boilerplate(spark):
+    rng = np.random.default_rng(4)
+    page = [[f"w{rng.integers(4000)}" for _ in range(40)] for _ in range(5)]
+    rows = []
+    for i in range(150):
+        own = [list(x) for x in page]
+        for _ in range(3):
+            own[rng.integers(5)][rng.integers(40)] = f"edit{rng.integers(10**9)}"
+        rows.append((i, "\n".join([" ".join(x) for x in own] + FOOT[:1]), "en", f"s{i % 20}"))
+    rows += [(1000 + i, f"own words {i} and {i * i}\n{FOOT[0]}", "en", f"s{i % 20}") for i in range(60)]
+    got = lines.remove_boilerplate(frame(spark, rows)).collect()
+    assert {r["n_removed"] for r in got} == {1} and not any(FOOT[0] in r["text"] for r in got)
+
+
 # --- near dedup
 
 
