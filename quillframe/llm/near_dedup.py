@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Scratch, pick, small_batches
@@ -89,8 +89,8 @@ def sketcher(k: int):
                         packed[i] = tokens[row].tobytes()
                         prints[i] = _print(sets[i])
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(w.first, len(n)), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary()), pa.array(prints, pa.binary())],
-                    names=["doc_id", "n_shingles", "hi", "lo", "tokens", "print"],
+                    [ids.slice(w.first, len(n)), batch.column("t").slice(w.first, len(n)), pa.array(n), pa.array(hi), pa.array(lo), pa.array(packed, pa.binary()), pa.array(prints, pa.binary())],
+                    names=["doc_id", "t", "n_shingles", "hi", "lo", "tokens", "print"],
                 )
 
     return sketch
@@ -295,8 +295,9 @@ def _confirm(percent: int):
 
 
 def _full(wanted: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """doc, shingles of the wanted documents; merged at every size, so that the plan doesn't change as the corpus grows."""
-    return scratch.table(texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary"), "sets")
+    """doc, shingles of the wanted documents, once each; merged at every size, so that the plan doesn't change as the corpus grows."""
+    sets = texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary")
+    return scratch.table(sets, "sets").where(F.octet_length("shingles") > 0).dropDuplicates(["doc"])
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -304,42 +305,82 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     full = _full(wanted, texts, k, scratch)
     left, right = (full.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    good = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
-    scratch.drop(full)
-    return good
+    return scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 6) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text); and text_key, cluster.
 
     Linked: 100 * intersection >= percent * union of the distinct k-word shingle sets. Texts without
-    words are linked with nothing. ``kept`` marks the smallest doc_id of a component. Repeated rows
-    give repeated results; a repeated doc_id with another text follows its own text, and the smaller
-    id stays the name of both. A row without doc_id takes no part: no component, kept.
+    words are linked with nothing. component_id is the smallest doc_id of a component, and ``kept`` marks
+    its rows. Repeated rows give repeated results; rows of one doc_id with other texts each follow
+    their own text. A row without doc_id takes no part: no component, kept. text_key is a hash of
+    the text and cluster names the component, also where one doc_id stands in several; it is null for
+    rows that take no part or have no words. Very long texts are read whole; other columns are
+    ignored, whatever their names; an empty table gives an empty result.
     """
     with small_batches(docs.sparkSession):
         return _near_duplicates(docs, k, percent, trees)
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the least (doc_id, text_key).
+
+    Rows equal in doc_id and text are copies as well, and the one least in its other columns stays. Rows
+    without words stay, once for each doc_id and text; rows without doc_id all stay.
+    """
+    found = near_duplicates(docs, k, percent)
+    some = found.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min(F.struct("doc_id", "text_key")).alias("one")).select("one.*")
+    none = found.where("cluster IS NULL AND doc_id IS NOT NULL").select("doc_id", "text_key").distinct()
+    chosen = some.unionByName(none).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    # a map-side minimum leaves one row of any number of repeated ones; merged at every size: the list grows with the corpus
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("__id"), _text_key(F.col("text")).alias("__key")).agg(F.min(row).alias("__row"))
+    return once.join(chosen.hint("merge"), ["__id", "__key"], "left_semi").select("__row.*").unionByName(docs.where("doc_id IS NULL"))
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"), text.isNull())
+
+
 def _near_duplicates(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
-    base = pick(docs, doc_id="long", text="string")
-    sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
+    base = pick(docs, doc_id="long", text="string").withColumn("t", _text_key(F.col("text")))
+    sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, t long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
     taking = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.table(taking.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("doc"), F.first("tokens").alias("tokens"), F.first("print").alias("print")), "classes")
-    # a repeated doc_id may name several classes; one of them is compared
-    members = classes.select("doc", F.col("n_shingles").alias("n"), "tokens", "print").dropDuplicates(["doc"])
-    roots = _linked(members, base, scratch, k, percent, trees)
-    named = classes.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("n_shingles", "hi", "lo", F.coalesce("root", "doc").alias("component_id"))
+    # a class of equal sets is named by its least doc_id; by a hash, where that doc_id has several texts
+    several = scratch.table(taking.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("doc_id", "t0"), "several")
     key = ["n_shingles", "hi", "lo"]
-    out = sketches.select("doc_id", *key).join(named, key, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _linked(members: DataFrame, base: DataFrame, scratch: Scratch, k: int, percent: int, trees: int) -> DataFrame:
+    classes = taking.groupBy(*key).agg(F.min(F.struct("doc_id", "t")).alias("rep"), F.first("tokens").alias("tokens"), F.first("print").alias("print"))
+    classes = classes.select(*key, "rep.doc_id", "rep.t", "tokens", "print")
+    if several.isEmpty():  # the same names either way; without repeated ids nothing need be joined
+        classes = classes.withColumn("doc", F.col("doc_id"))
+    else:
+        classes = classes.join(several.hint("merge"), "doc_id", "left").withColumn("doc", F.when(F.col("t") != F.col("t0"), F.xxhash64("doc_id", "t")).otherwise(F.col("doc_id"))).drop("t0")
+    classes = scratch.table(classes, "classes")
+    members = classes.select("doc", F.col("n_shingles").alias("n"), "tokens", "print")
+    # texts by class; a row of another class under the same doc_id has another key
+    named = classes.select("doc", "doc_id", "t").where("doc <> doc_id")
+    texts = base.where("doc_id IS NOT NULL").select("doc_id", "t", "text")
+    if several.isEmpty():
+        texts = texts.select(F.col("doc_id").alias("doc"), "text")
+    else:
+        first = several.withColumnRenamed("t0", "own")
+        texts = texts.join(named.hint("merge"), ["doc_id", "t"], "left").join(first.hint("merge"), "doc_id", "left")
+        texts = texts.where("doc IS NOT NULL OR own IS NULL OR own = t").select(F.coalesce("doc", "doc_id").alias("doc"), "text")
+    roots = _linked(members, texts, scratch, k, percent, trees)
+    found = classes.select(*key, "doc", "doc_id").join(roots.withColumnRenamed("node", "doc"), "doc", "left").select(*key, "doc_id", F.coalesce("root", "doc").alias("cluster"))
+    least = found.groupBy("cluster").agg(F.min("doc_id").alias("component_id"))
+    found = scratch.table(found.join(least.hint("merge"), "cluster").select(*key, "cluster", "component_id"), "found")
+    out = sketches.select("doc_id", "t", *key).join(found.hint("merge"), key, "left")
+    known = F.col("doc_id").isNotNull()
+    out = out.withColumns({"component_id": F.when(known, F.coalesce("component_id", "doc_id")), "cluster": F.when(known, F.col("cluster"))})
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), F.col("t").alias("text_key"), "cluster")
+
+
+def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, trees: int) -> DataFrame:
     least = percent / 100
     members = scratch.table(members.mapInArrow(_paths(trees), "doc long, n long, tokens binary, print binary, paths array<long>"), "members")
-    texts = base.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
     nodes = members.select("doc", "n", F.posexplode("paths").alias("at", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     nodes = scratch.table(nodes.join(sizes, "node").select("doc", "n", "node", "at", "size"), "nodes")
