@@ -5,6 +5,12 @@ quality classifier -> line dedup -> MinHash near-dedup -> mixing to target weigh
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 ``documents`` (doc_id, text, lang, source, n_chars). ``run`` writes each stage's result to the
 shared folder as Parquet and reads it again as the next one's docs, which also cuts lineage.
+
+Defined cases, for every stage: rows are told apart by all their columns, never by doc_id alone, so rows
+without doc_id, repeated rows and rows of one doc_id with other texts are each treated by their own text. A
+null or empty text is kept by the classifier, has no lines to lose and no near copies, counts no words in the mix
+(it comes as often as its source's whole passes say) and encodes to null or no ids. Further columns, and columns
+with clashing names, don't reach the next stage. An empty table gives an empty result. Ties go as the operators say.
 """
 
 from __future__ import annotations
@@ -35,28 +41,16 @@ def strip_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    docs = docs.select(*COLUMNS)
-    found = near_dedup.near_duplicates(docs, k=5, percent=80)
-    gone = found.where("NOT kept").select("doc_id").distinct()
-    # merged at every size: the list of copies grows with the corpus
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    once = F.xxhash64("doc_id", "text")
-    # repeated rows of one id are copies as well
-    return kept.groupBy("doc_id", once.alias("t")).agg(*[F.first(c).alias(c) for c in COLUMNS[1:]]).select(*COLUMNS) if _repeats(kept) else kept.select(*COLUMNS)
-
+    """One document, that of the least doc_id, of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands on more than one row."""
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id IS NOT NULL AND n > 1").isEmpty()
+    Rows equal in doc_id and text are copies too; rows without doc_id take no part and stay, each.
+    """
+    return near_dedup.keep_one(docs.select(*COLUMNS), k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    # a struct as key, so that rows without doc_id meet too
-    passes = mixing.mix_documents(docs).where("passes > 0").groupBy(F.struct("doc_id").alias("id")).agg(F.max("passes").alias("passes"))
-    keyed = docs.select(*COLUMNS, F.struct("doc_id").alias("id"))
-    return keyed.join(passes.hint("merge"), "id").withColumn("pass", F.explode(F.sequence(F.lit(1), "passes"))).select(*COLUMNS)
+    """Each row as many times as the mix takes it."""
+    return mixing.repeated(docs.select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
