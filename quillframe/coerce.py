@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The white space characters of the model's text rules.
@@ -33,9 +33,13 @@ def half_up(value) -> Column:
 
 
 def number_or(value, default) -> Column:
-    """``value`` unless it is null, NaN or 0."""
-    value = lit(value)
-    return F.when(value.isNull() | F.isnan(value) | (value == 0), lit(default)).otherwise(value)
+    """``value`` unless it is null, NaN or 0. The value stands in the tree once."""
+    return F.coalesce(F.nullif(F.nanvl(lit(value).cast("double"), F.lit(0.0)), F.lit(0.0)), lit(default))
+
+
+def within(value, least, most) -> Column:
+    """As clamp for a value that is never NaN: it stands in the tree once."""
+    return F.greatest(lit(least), F.least(lit(most), lit(value)))
 
 
 def text_or(value, *defaults) -> Column:
@@ -57,3 +61,14 @@ def let(values: dict[str, Column], body) -> Column:
     """``body`` of a struct of ``values``, each worked out once."""
     parts = [x for k, v in values.items() for x in (F.lit(k), v)]
     return F.transform(F.array(F.named_struct(*parts)), body)[0]
+
+
+def layer(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are worked out here, once.
+
+    They come out of a generator of one row, which neither projections nor filters are moved through: a filter on
+    them isn't copied, with all they are made of, further down, and each layer is a method of its own, small
+    enough for the JVM to compile.
+    """
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in columns]
+    return rows.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))

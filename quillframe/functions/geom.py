@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..coerce import clamp, half_up, lit
@@ -77,6 +77,21 @@ def fit_size(chars: Column, size: Column, most: Column, tracking: Column, stretc
     return F.when((run_width(chars, full, tracking, stretch) <= most) | (most <= 1.0), full).otherwise(found)
 
 
+def with_fit_size(rows: DataFrame, name: str, chars: Column, size: Column, most: Column, tracking: Column, stretch: Column, floor: float = 0.68, steps: int = 14) -> DataFrame:
+    """``rows`` with ``fit_size`` as a column: the halvings are layers of plain columns, so they compile into one loop."""
+    kept = rows.columns
+    full = F.greatest(size, F.lit(1.0))
+    out = rows.withColumns({"__full": full, "__chars": chars, "__most": most, "__tracking": tracking, "__stretch": stretch})
+    out = out.withColumns({"__low": F.greatest(F.col("__full") * floor, F.lit(1.0)), "__high": F.col("__full")})
+    width = lambda c: run_width(F.col("__chars"), F.col(c), F.col("__tracking"), F.col("__stretch"))
+    for _ in range(steps):
+        out = out.withColumn("__mid", (F.col("__low") + F.col("__high")) / 2.0)
+        out = out.withColumn("__wide", width("__mid") > F.col("__most"))
+        out = out.withColumns({"__low": F.when(F.col("__wide"), F.col("__low")).otherwise(F.col("__mid")), "__high": F.when(F.col("__wide"), F.col("__mid")).otherwise(F.col("__high"))})
+    fits = (width("__full") <= F.col("__most")) | (F.col("__most") <= 1.0)
+    return out.select(*[F.col(f"`{c}`") for c in kept if c != name], F.when(fits, F.col("__full")).otherwise(F.greatest(F.col("__low"), F.lit(1.0))).alias(name))
+
+
 def fit_tracking(chars: Column, size: Column, tracking: Column, stretch: Column, most: Column) -> Column:
     """Tracking drawn in until the run fits, between -0.08 and what it was."""
     width = run_width(chars, size, tracking, stretch)

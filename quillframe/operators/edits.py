@@ -9,22 +9,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..coerce import clamp, number_or, text_or
+from ..coerce import clamp, layer, number_or, text_or
 from ..functions import font, geom, text
 
 TYPE = ("family", "size", "weight", "style", "char_spacing")
 
 
+def _family_changed(o: Column, e: Column) -> Column:
+    return font.comparable(e["family"]) != font.comparable(o["family"])
+
+
+def _weight_changed(o: Column, e: Column) -> Column:
+    return font.weight(text_or(e["weight"], o["weight"])) != font.weight(o["weight"])
+
+
+def _shape_changed(o: Column, e: Column) -> Column:
+    size, spacing = number_or(o["size"], 0.0), F.coalesce(o["char_spacing"], F.lit(0.0))
+    slant = font.comparable(text_or(e["style"], o["style"])) != font.comparable(o["style"])
+    return slant | (F.abs(number_or(e["size"], size) - size) > 0.05) | (F.abs(F.coalesce(e["char_spacing"], spacing) - spacing) > 0.01)
+
+
 def style_changed(o: Column, e: Column) -> Column:
-    size = number_or(o["size"], 0.0)
-    spacing = F.coalesce(o["char_spacing"], F.lit(0.0))
-    return (
-        (font.comparable(e["family"]) != font.comparable(o["family"]))
-        | (F.abs(number_or(e["size"], size) - size) > 0.05)
-        | (font.weight(text_or(e["weight"], o["weight"])) != font.weight(o["weight"]))
-        | (font.comparable(text_or(e["style"], o["style"])) != font.comparable(o["style"]))
-        | (F.abs(F.coalesce(e["char_spacing"], spacing) - spacing) > 0.01)
-    )
+    return _family_changed(o, e) | _weight_changed(o, e) | _shape_changed(o, e)
+
+
+def with_style_changed(boxes: DataFrame, name: str = "style_changed") -> DataFrame:
+    """``boxes`` with ``style_changed`` of their original and edit, a layer for each part of it."""
+    o, e = F.col("original"), F.col("edit")
+    parts = layer(layer(layer(boxes, __family=_family_changed(o, e)), __weight=_weight_changed(o, e)), __shape=_shape_changed(o, e))
+    return layer(parts, **{name: F.col("__family") | F.col("__weight") | F.col("__shape")}).drop("__family", "__weight", "__shape")
 
 
 def as_original(o: Column) -> Column:
@@ -37,12 +50,12 @@ def refreshed(boxes: DataFrame, compat: bool = False) -> DataFrame:
     An untouched box has no edited text. By the model's own rule (``compat``) that differs from the
     original and counts as an edit that restores it; otherwise it is no edit.
     """
-    edited = text.commit(F.col("edited_text"))
+    boxes = layer(with_style_changed(boxes, "__style"), __edited=text.commit(F.col("edited_text")), __original=text.commit(F.col("original_text")))
+    edited = F.col("__edited")
     untouched = F.lit(False) if compat else (F.coalesce("edited_text", F.lit("")) == "")
-    text_differs = (edited != text.commit(F.col("original_text"))) & ~untouched
+    text_differs = (edited != F.col("__original")) & ~untouched
     deleted = F.coalesce("is_deleted", F.lit(False))
-    changed = deleted | text_differs | style_changed(F.col("original"), F.col("edit"))
-    out = boxes.withColumn("has_edit", changed)
+    out = layer(boxes, has_edit=deleted | text_differs | F.col("__style"))
     on = F.col("has_edit")
     fill = F.when(edited == "", F.coalesce("original_text", F.lit(""))).otherwise(F.col("edited_text"))
     return out.withColumns(
@@ -51,15 +64,16 @@ def refreshed(boxes: DataFrame, compat: bool = False) -> DataFrame:
             "is_deleted": F.when(on, deleted).otherwise(F.lit(False)),
             "edit": F.when(on, F.col("edit")).otherwise(as_original(F.col("original"))),
         }
-    )
+    ).drop("__style", "__edited", "__original")
 
 
 def committed(boxes: DataFrame, new_text: Column) -> DataFrame:
     """A new text for each box: blank leaves a tombstone, otherwise the original's type comes back."""
-    value = text.commit(new_text)
-    shown = text.visible(value)
+    boxes = layer(boxes, __value=text.commit(new_text), __original=text.commit(F.col("original_text")))
+    value, shown = F.col("__value"), F.col("__shown")
+    boxes = layer(boxes, __shown=text.visible(value))
     out = boxes.withColumns({"is_deleted": ~shown, "edited_text": F.when(shown, value).otherwise(F.lit("")), "edit": F.when(shown, as_original(F.col("original"))).otherwise(F.col("edit"))})
-    return out.withColumn("has_edit", ~shown | (value != text.commit(F.col("original_text"))))
+    return out.withColumn("has_edit", ~shown | (value != F.col("__original"))).drop("__value", "__original", "__shown")
 
 
 def reset(boxes: DataFrame) -> DataFrame:
@@ -158,7 +172,7 @@ def origin_masks(boxes: DataFrame) -> DataFrame:
     return boxes.where(is_moved()).select(*[c for c in boxes.columns if c.endswith("_id") or c == "page_index"], F.col("base_left").alias("left"), F.col("base_top").alias("top"), F.col("base_width").alias("width"), F.col("base_height").alias("height"), text_or(F.col("mask_color"), "#ffffff").alias("fill"))
 
 
-def selected(objects: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+def selected(objects: DataFrame, chosen: DataFrame, key: str | list[str]) -> DataFrame:
     """Text boxes among the chosen."""
     return objects.where((F.col("kind") == "text_box") & ~F.col("is_helper")).join(chosen, key, "left_semi")
 

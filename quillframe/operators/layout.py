@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..coerce import clamp, number_or
+from ..coerce import clamp, layer, number_or, within
 from ..functions import geom, text
 
 
@@ -17,33 +17,33 @@ def placed(items: DataFrame, page_width: float, page_height: float, scale: float
     m = [F.col("transform")[i] for i in range(6)]
     value = text.item(F.col("str"))
     tall = F.greatest(F.hypot(m[2] * scale, m[3] * scale), F.abs(number_or(F.col("height"), 0.0) * scale), F.lit(8.0))
-    out = items.where(text.visible(value)).withColumns({"value": value, "font_height": tall, "x": m[4] * scale, "y": page_height - m[5] * scale})
+    out = layer(items, value=value).where(text.visible(F.col("value")))
+    out = layer(out, font_height=tall, wide=F.abs(number_or(F.col("width"), 0.0) * scale), x=m[4] * scale, y=page_height - m[5] * scale)
     ascent, descent = F.coalesce("ascent", F.lit(0.82)), F.abs(F.coalesce("descent", F.lit(-0.18)))
     fh, chars = F.col("font_height"), F.length("value")
-    wide = F.abs(number_or(F.col("width"), 0.0) * scale)
-    wide = F.when(F.isnan(wide) | (wide < 2), F.greatest(chars * fh * 0.45, F.lit(8.0))).otherwise(wide)
-    out = out.withColumns(
-        {
-            "left": F.greatest(F.least(F.col("x"), F.lit(page_width - 2)), F.lit(0.0)),
-            "top": F.greatest(F.least(F.col("y") - fh * ascent, F.lit(page_height - 2)), F.lit(0.0)),
-            "w": wide,
-            "h": F.greatest(fh * (ascent + descent), fh * 1.05, F.lit(9.0)),
-        }
+    wide = F.when(F.col("wide") < 2, F.greatest(chars * fh * 0.45, F.lit(8.0))).otherwise(F.col("wide"))
+    out = layer(
+        out,
+        left=F.greatest(F.least(F.col("x"), F.lit(page_width - 2)), F.lit(0.0)),
+        top=F.greatest(F.least(F.col("y") - fh * ascent, F.lit(page_height - 2)), F.lit(0.0)),
+        w=wide,
+        h=F.greatest(fh * (ascent + descent), fh * 1.05, F.lit(9.0)),
     )
-    out = out.withColumns({"w": F.least("w", page_width - F.col("left")), "h": F.least("h", page_height - F.col("top"))}).where("w >= 2 AND h >= 2")
+    out = layer(out, w=F.least("w", page_width - F.col("left")), h=F.least("h", page_height - F.col("top"))).where("w >= 2 AND h >= 2")
     return normalised(out, F.col("value"), page_width, page_height)
 
 
 def normalised(boxes: DataFrame, value: Column, page_width: float, page_height: float) -> DataFrame:
     """Boxes far wider or taller than their text drawn in; font_size estimated."""
     size = F.greatest(F.least("font_height", F.col("h") * 0.96), F.lit(8.0))
-    out = boxes.withColumn("font_size", size)
+    out = layer(boxes, font_size=size)
     measured = geom.page_width_of(F.length(value), F.col("font_size"))
     roomy = F.greatest(measured * 1.03 + 2, F.lit(8.0))
     w = F.when((measured > 0) & (F.col("w") > roomy * 1.12), roomy).otherwise(F.col("w"))
     line = F.greatest(F.col("font_size") * 1.25 + 2, F.lit(9.0))
     h = F.when(F.col("h") > line * 1.45, line).otherwise(F.col("h"))
-    return out.withColumns({"w": clamp(w, F.lit(2.0), page_width - F.col("left")), "h": clamp(h, F.lit(2.0), page_height - F.col("top"))}).where("w >= 2 AND h >= 2")
+    # at least 2 by 2 again: nothing degenerate is left to drop, and no filter copies these columns further down
+    return out.withColumns({"w": within(w, F.lit(2.0), page_width - F.col("left")), "h": within(h, F.lit(2.0), page_height - F.col("top"))})
 
 
 def recognised(words: DataFrame, page_width: float, page_height: float, least_confidence: float = 35.0) -> DataFrame:
@@ -51,10 +51,10 @@ def recognised(words: DataFrame, page_width: float, page_height: float, least_co
     from ..coerce import trimmed
 
     b = F.col("bbox")
-    out = words.withColumns({"value": trimmed(F.coalesce("text", F.lit(""))), "w": b["x1"] - b["x0"], "h": b["y1"] - b["y0"]})
+    out = layer(words, value=trimmed(F.coalesce("text", F.lit(""))), w=b["x1"] - b["x0"], h=b["y1"] - b["y0"])
     out = out.where((F.col("value") != "") & (F.col("w") >= 4) & (F.col("h") >= 4) & (F.coalesce("confidence", F.lit(0.0)) >= least_confidence))
-    out = out.withColumns({"left": F.greatest(F.least(b["x0"], F.lit(page_width - 2)), F.lit(0.0)), "top": F.greatest(F.least(b["y0"], F.lit(page_height - 2)), F.lit(0.0))})
-    out = out.withColumns({"w": F.least("w", page_width - F.col("left")), "h": F.least("h", page_height - F.col("top"))}).where("w >= 2 AND h >= 2")
+    out = layer(out, left=F.greatest(F.least(b["x0"], F.lit(page_width - 2)), F.lit(0.0)), top=F.greatest(F.least(b["y0"], F.lit(page_height - 2)), F.lit(0.0)))
+    out = layer(out, w=F.least("w", page_width - F.col("left")), h=F.least("h", page_height - F.col("top"))).where("w >= 2 AND h >= 2")
     return out.withColumn("font_size", F.greatest(F.col("h") * 0.78, F.lit(8.0)))
 
 

@@ -56,8 +56,8 @@ def ocr_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = text_runs(spark, sf_dir)
-    pdf = runs.where("run_id % 3 = 0").select("doc_id", "page_index", "run_id", F.col("width").alias("w"))
-    ocr = layout.recognised(ocr_words(spark, sf_dir).where("run_id % 5 = 0"), *PAGE).select("doc_id", "page_index", "run_id", "w")
+    pdf = runs.select("doc_id", "page_index", "run_id", F.col("width").alias("w"))
+    ocr = layout.recognised(ocr_words(spark, sf_dir), *PAGE).select("doc_id", "page_index", "run_id", "w")
     return layout.readiness(layout.boxes_of(pdf, ocr), ["doc_id", "page_index"])
 
 
@@ -152,7 +152,7 @@ def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def icon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    x = text.icon_label(F.substring("text", 1, 60))
+    x = text.icon_label(F.col("text"))
     return c.select("conv_id", "turn", x["icon"].alias("icon"), x["label"].alias("label"))
 
 
@@ -238,7 +238,7 @@ e AS (SELECT *, greatest(len * greatest(fs, 8.0::DOUBLE) * 0.52::DOUBLE * 1.03::
 f AS (SELECT *, greatest(2.0::DOUBLE, least(600.0 - x, CASE WHEN w2 > roomy * 1.12::DOUBLE THEN roomy ELSE w2 END)) AS w, greatest(2.0::DOUBLE, least(640.0 - y, CASE WHEN h2 > line * 1.45::DOUBLE THEN line ELSE h2 END)) AS h FROM e)
 SELECT doc_id, page_index, count(*) AS boxes, round(sum(x), 6) AS lefts, round(sum(y), 6) AS tops, round(sum(w), 6) AS widths, round(sum(h), 6) AS heights, round(sum(fs), 6) AS sizes FROM f WHERE w >= 2 AND h >= 2 GROUP BY ALL""",
     "ocr_filter": f"""WITH {TEXT_RUN_SQL}, {_OCR} SELECT doc_id, count(*) AS boxes, round(sum(w), 6) AS widths, round(sum(h), 6) AS heights, round(sum(greatest(h * 0.78::DOUBLE, 8.0::DOUBLE)), 6) AS sizes, min(confidence) AS least FROM ocr WHERE w >= 2 AND h >= 2 GROUP BY doc_id""",
-    "box_union": f"""WITH {TEXT_RUN_SQL}, {_OCR}, every AS (SELECT doc_id, page_index, 'pdf' AS source FROM text_run WHERE run_id % 3 = 0 UNION ALL SELECT doc_id, page_index, 'ocr' FROM ocr WHERE run_id % 5 = 0 AND w >= 2 AND h >= 2)
+    "box_union": f"""WITH {TEXT_RUN_SQL}, {_OCR}, every AS (SELECT doc_id, page_index, 'pdf' AS source FROM text_run UNION ALL SELECT doc_id, page_index, 'ocr' FROM ocr WHERE w >= 2 AND h >= 2)
 SELECT doc_id, page_index, bool_or(source = 'pdf') AS pdf_ready, bool_or(source = 'ocr') AS ocr_ready, count(*) AS boxes FROM every GROUP BY ALL""",
     "scan_once": f"""WITH {TEXT_RUN_SQL} SELECT DISTINCT doc_id, page_index FROM text_run WHERE (doc_id + page_index) % 3 <> 0""",
     "box_build": """WITH c AS (SELECT p_partkey AS k, * FROM part) SELECT k AS box_seq, p_name AS text, CASE WHEN k % 6 = 0 THEN 'Arial, sans-serif' ELSE p_brand END AS font_family, '400' AS font_weight, 'normal' AS font_style, CASE WHEN k % 2 = 0 THEN 'ocr' ELSE 'pdf' END AS source,
@@ -274,5 +274,5 @@ SELECT k, CASE WHEN own THEN head ELSE trim(replace(replace(replace(replace(repl
     "file_names": f"""WITH n AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN '' ELSE regexp_extract(url, '([^/]*)/?$', 1) END || CASE page_id % 3 WHEN 0 THEN '.PDF' WHEN 1 THEN '.png' ELSE ' .jpeg' END AS name FROM pages)
 SELECT page_id, coalesce(nullif({_trim("regexp_replace(name, '\\.[^.]+$', '')")}, ''), 'converted-image') AS image_stem, coalesce(nullif({_trim("regexp_replace(name, '(?i)\\.pdf$', '')")}, ''), 'edited-document') AS pdf_stem, 'page-' || lpad(CAST(page_id AS VARCHAR), greatest(3, length(CAST(page_id AS VARCHAR)))::INTEGER, '0') || '.png' AS page_name,
   page_id % 5 = 0 OR regexp_matches(name, '(?i)\\.(png|jpe?g)$') AS is_image, regexp_matches(name, '(?i)\\.pdf$') AS is_pdf, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS escaped FROM n""",
-    "icon_labels": f"""WITH t AS (SELECT conv_id, turn, {_trim("substr(text, 1, 60)")} AS x FROM conversations) SELECT conv_id, turn, regexp_extract(x, '^([^{WS[1:-1]}]+){WS}*(.*)$', 1) AS icon, {_trim(f"regexp_extract(x, '^([^{WS[1:-1]}]+){WS}*(.*)$', 2)")} AS label FROM t""",
+    "icon_labels": f"""WITH t AS (SELECT conv_id, turn, {_trim("text")} AS x FROM conversations) SELECT conv_id, turn, regexp_extract(x, '^([^{WS[1:-1]}]+){WS}*(.*)$', 1) AS icon, {_trim(f"regexp_extract(x, '^([^{WS[1:-1]}]+){WS}*(.*)$', 2)")} AS label FROM t""",
 }

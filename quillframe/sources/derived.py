@@ -18,26 +18,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each word of ``documents``: twelve to a line, forty lines to a page.
 
-    doc_id, page_index, seq, run_id, str, len, left, top, width, height.
+    doc_id, page_index, seq, run_id, str, len, left, top, width, height. (doc_id, seq) tells runs apart; run_id
+    is only a number to vary by.
     """
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    # places in the line come from the words before in the same array, so no window is needed; the array is bound
-    # once and taken apart last, so that no row carries it along
-    col = lambda i: i % PER_LINE
-    before = lambda ws, i: F.aggregate(F.slice(ws, i - col(i) + 1, col(i)), F.lit(0).cast("long"), lambda n, w: n + F.length(w))
     words = {"ws": F.filter(F.split("text", "[\n ]"), lambda w: w != "")}
-    placed = let(words, lambda v: F.transform(v["ws"], lambda w, i: F.named_struct(F.lit("str"), w, F.lit("before"), before(v["ws"], i))))
-    runs = docs.select("doc_id", F.posexplode(placed).alias("seq", "w")).select("doc_id", F.col("seq").cast("long").alias("seq"), "w.str", F.length("w.str").cast("long").alias("len"), "w.before")
-    line = F.floor(F.col("seq") / PER_LINE)
+    # texts are parted into lines, then lines into words whose places are sums over a fixed number of columns: no
+    # window, and no row that carries its text along
+    lines = let(words, lambda v: F.transform(F.sequence(F.lit(0), F.ceil(F.size(v["ws"]) / PER_LINE).cast("int")), lambda i: F.slice(v["ws"], i * PER_LINE + 1, PER_LINE)))
+    rows = docs.select("doc_id", F.posexplode(lines).alias("line", "ws"))
+    rows = rows.select("doc_id", F.col("line").cast("long").alias("line"), *[F.get("ws", i).alias(f"w{i}") for i in range(PER_LINE)])
+    rows = rows.select("doc_id", "line", *[f"w{i}" for i in range(PER_LINE)], *[F.coalesce(F.length(f"w{i}"), F.lit(0)).cast("long").alias(f"n{i}") for i in range(PER_LINE)])
+    before = [sum((F.col(f"n{j}") for j in range(i)), F.lit(0).cast("long")) for i in range(PER_LINE)]
+    placed = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.col(f"w{i}").alias("str"), F.col(f"n{i}").alias("len"), before[i].alias("before")) for i in range(PER_LINE)])
+    runs = rows.select("doc_id", "line", F.inline(placed)).where("str IS NOT NULL")
+    seq = F.col("line") * PER_LINE + F.col("i")
     return runs.select(
         "doc_id",
-        F.floor(line / LINES).alias("page_index"),
-        "seq",
-        (F.col("doc_id") * 100000 + F.col("seq")).alias("run_id"),
+        F.floor(F.col("line") / LINES).alias("page_index"),
+        seq.alias("seq"),
+        (F.col("doc_id") * 100000 + seq).alias("run_id"),
         "str",
         "len",
         (F.col("before") * ADVANCE).alias("left"),
-        (line % LINES * (1.25 * SIZE)).alias("top"),
+        (F.col("line") % LINES * (1.25 * SIZE)).alias("top"),
         (F.col("len") * ADVANCE).alias("width"),
         F.lit(SIZE).alias("height"),
     )
@@ -47,7 +51,7 @@ def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEXT_RUN_SQL = """
 word AS (SELECT doc_id, list_filter(string_split_regex(text, '[\\n ]'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL),
 wordrow AS (SELECT doc_id, unnest(ws) AS str, unnest(range(len(ws))) AS seq FROM word),
-text_run AS (
+text_run AS MATERIALIZED (
   SELECT doc_id, seq // 12 // 40 AS page_index, seq, doc_id * 100000 + seq AS run_id, str, length(str) AS len,
     coalesce(sum(length(str)) OVER (PARTITION BY doc_id, seq // 12 ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 6.24::DOUBLE AS "left",
     (seq // 12 % 40) * 15.0::DOUBLE AS top, length(str) * 6.24::DOUBLE AS width, 12.0::DOUBLE AS height
