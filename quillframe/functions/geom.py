@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..coerce import clamp, half_up, lit
+from ..coerce import clamp, half_up, layer, lit
 
 ADVANCE = 0.52
 
@@ -89,7 +89,9 @@ def with_fit_size(rows: DataFrame, name: str, chars: Column, size: Column, most:
         out = out.withColumn("__wide", width("__mid") > F.col("__most"))
         out = out.withColumns({"__low": F.when(F.col("__wide"), F.col("__low")).otherwise(F.col("__mid")), "__high": F.when(F.col("__wide"), F.col("__mid")).otherwise(F.col("__high"))})
     fits = (width("__full") <= F.col("__most")) | (F.col("__most") <= 1.0)
-    return out.select(*[F.col(f"`{c}`") for c in kept if c != name], F.when(fits, F.col("__full")).otherwise(F.greatest(F.col("__low"), F.lit(1.0))).alias(name))
+    # a layer, so that no filter on the size is copied through the halvings
+    out = layer(out, __fit=F.when(fits, F.col("__full")).otherwise(F.greatest(F.col("__low"), F.lit(1.0))))
+    return out.select(*[F.col(f"`{c}`") for c in kept if c != name], F.col("__fit").alias(name))
 
 
 def fit_tracking(chars: Column, size: Column, tracking: Column, stretch: Column, most: Column) -> Column:

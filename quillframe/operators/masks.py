@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..coerce import clamp, half_up
+from ..coerce import clamp, half_up, let, within
 
 #: Factors and offsets of the calibration grid.
 SIZES = (0.9, 0.94, 0.98, 1.0, 1.02, 1.06, 1.1)
@@ -76,9 +76,10 @@ def text_colour(samples: Column) -> Column:
 
 def candidates(size: Column, scale: Column, ascent: Column) -> Column:
     """The calibration grid around a box's type: an array of (seq, size, scale, ascent) in order of trial."""
-    base, sx, up = F.greatest(size, F.lit(8.0)), clamp(scale, 0.5, 2.2), clamp(ascent, 0.5, 0.95)
-    grid = [(s, x, a) for s in SIZES for x in SCALES for a in ASCENTS]
-    return F.array(*[F.struct(F.lit(i).alias("seq"), clamp(base * s, 6.0, 180.0).alias("size"), clamp(sx * x, 0.5, 2.2).alias("scale"), clamp(up + a, 0.5, 0.95).alias("ascent")) for i, (s, x, a) in enumerate(grid)])
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(x).alias("x"), F.lit(a).alias("a")) for i, (s, x, a) in enumerate((s, x, a) for s in SIZES for x in SCALES for a in ASCENTS)])
+    own = {"base": F.greatest(size, F.lit(8.0)), "sx": clamp(scale, 0.5, 2.2), "up": clamp(ascent, 0.5, 0.95)}
+    tried = lambda v: F.transform(grid, lambda g: F.struct(g["i"].alias("seq"), within(v["base"] * g["s"], 6.0, 180.0).alias("size"), within(v["sx"] * g["x"], 0.5, 2.2).alias("scale"), within(v["up"] + g["a"], 0.5, 0.95).alias("ascent")))
+    return let(own, tried)
 
 
 def sample_points(r: Column, canvas_width: Column, canvas_height: Column) -> Column:

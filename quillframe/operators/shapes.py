@@ -15,14 +15,22 @@ def drawn(drags: DataFrame) -> DataFrame:
     return drags.withColumn("shape", F.struct(F.least("x0", "x1").alias("left"), F.least("y0", "y1").alias("top"), w.alias("width"), h.alias("height"), F.when(round_, w / 2).alias("rx"), F.when(round_, h / 2).alias("ry")))
 
 
-def painted(objects: DataFrame, chosen: Column, stroke: Column, fill: Column, stroke_width: Column) -> DataFrame:
-    """Style of chosen drawings: lines and paths have a stroke, texts a fill, others both."""
-    line, word = F.col("kind").isin("line", "path"), F.col("kind") == "text"
+#: Kinds of drawings that have a fill, and kinds of texts.
+FILLED, WORDS = ("rect", "ellipse", "triangle", "polygon"), ("i-text", "text", "textbox")
+
+
+def painted(objects: DataFrame, chosen: Column, style: dict[str, object]) -> DataFrame:
+    """Style of chosen objects by kind: drawings take the stroke, shapes the fill, texts the text's colour, size and family, boxes its colour alone."""
+    box, word, shape = F.col("kind") == "text_box", F.col("kind").isin(*WORDS), F.col("kind").isin(*FILLED)
+    new = {k: F.lit(v) for k, v in style.items()}
+    of = lambda when, column, value: F.when(chosen & when, value).otherwise(F.col(column))
     return objects.withColumns(
         {
-            "stroke": F.when(chosen & ~word, stroke).otherwise(F.col("stroke")),
-            "stroke_width": F.when(chosen & ~word, stroke_width).otherwise(F.col("stroke_width")),
-            "fill": F.when(chosen & word, stroke).when(chosen & ~line, fill).otherwise(F.col("fill")),
+            "stroke": of(~box, "stroke", new["stroke"]),
+            "stroke_width": of(~box, "stroke_width", new["stroke_width"]),
+            "fill": F.when(chosen & (word | box), new["text_color"]).otherwise(of(shape, "fill", new["fill"])),
+            "font_size": of(word, "font_size", new["font_size"]),
+            "font_family": of(word, "font_family", new["font_family"]),
         }
     )
 

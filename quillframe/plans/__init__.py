@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    from . import colours, document, edits, text
+    from . import colours, document, edits, pages, text
 
-    return {**text.QUERIES, **edits.QUERIES, **colours.QUERIES, **document.QUERIES}
+    return {**text.QUERIES, **edits.QUERIES, **colours.QUERIES, **document.QUERIES, **pages.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import colours, document, edits, text
+    from . import colours, document, edits, pages, text
 
-    return {**text.SQL, **edits.SQL, **colours.SQL, **document.SQL}
+    return {**text.SQL, **edits.SQL, **colours.SQL, **document.SQL, **pages.SQL}

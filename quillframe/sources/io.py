@@ -27,10 +27,43 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return raw.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "content", form.alias("format"))
 
 
+#: JPEG markers that start a frame.
+FRAMES = tuple(m for m in range(0xC0, 0xD0) if m not in (0xC4, 0xC8, 0xCC))
+
+
+def _jpeg_size(content: bytes) -> tuple[int, int] | None:
+    """(width, height) of the first frame, found by walking the segments."""
+    at = 2
+    while at + 9 <= len(content):
+        if content[at] != 0xFF:
+            return None
+        mark = content[at + 1]
+        if mark == 0xFF or mark == 0x01 or 0xD0 <= mark <= 0xD8:  # filling, or marks without a length
+            at += 1 if mark == 0xFF else 2
+            continue
+        if mark in FRAMES:
+            return int.from_bytes(content[at + 7 : at + 9], "big"), int.from_bytes(content[at + 5 : at + 7], "big")
+        at += 2 + int.from_bytes(content[at + 2 : at + 4], "big")
+    return None
+
+
 def image_sizes(images: DataFrame) -> DataFrame:
-    """Width and height of PNG files, from their headers."""
+    """Width and height of PNG and JPEG files, from their headers; null for others."""
+
+    @F.pandas_udf("struct<width long, height long>")
+    def jpeg(content: pd.Series) -> pd.DataFrame:
+        found = [_jpeg_size(bytes(c)) if c is not None else None for c in content]
+        return pd.DataFrame({k: pd.array([f and f[i] for f in found], dtype="Int64") for i, k in enumerate(("width", "height"))})
+
     word = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
-    return images.withColumns({"width": F.when(F.col("format") == "png", word(17)), "height": F.when(F.col("format") == "png", word(21))})
+    read = images.withColumn("__jpeg", jpeg(F.when(F.col("format") == "jpg", F.col("content"))))
+    size = {k: F.when(F.col("format") == "png", word(at)).when(F.col("format") == "jpg", F.col(f"__jpeg.{k}")) for k, at in (("width", 17), ("height", 21))}
+    return read.withColumns(size).drop("__jpeg")
+
+
+def language(spark: SparkSession, default: str = "en") -> str:
+    """The session's language preference."""
+    return spark.conf.get("quillframe.language", default)
 
 
 def decoded(documents: DataFrame, decode: Callable[[bytes], pd.DataFrame], schema: str) -> DataFrame:

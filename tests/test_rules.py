@@ -130,7 +130,7 @@ def test_streaming_history_keeps_state():
         def update(self, x):
             self.exists, self.get = True, x
 
-    fold, state = folder("0", 100), State()
+    fold, state = folder("0"), State()
     one = pd.DataFrame({"ts": [1, 2], "event_id": [1, 2], "kind": ["commit", "commit"], "snapshot": ["a", "b"]})
     two = pd.DataFrame({"ts": [3, 4], "event_id": [3, 4], "kind": ["undo", "commit"], "snapshot": ["", "c"]})
     list(fold((1,), iter([one]), state))
@@ -179,3 +179,74 @@ def test_reset_forgets_edits(spark):
     b = spark.range(1).select(F.lit("a").alias("original_text"), F.lit("b").alias("edited_text"), F.lit(True).alias("has_edit"), F.lit(False).alias("is_deleted"), o.alias("original"), o.alias("edit"))
     assert edits.refreshed(edits.reset(b)).first()["has_edit"] is False
     assert edits.refreshed(b).first()["has_edit"] is True
+
+
+def test_histories_of_any_length_agree():
+    import pandas as pd
+
+    from quillframe.operators.history import step
+    from quillframe.streaming.history import folder
+
+    class State:
+        exists, get = False, None
+
+        def update(self, x):
+            self.exists, self.get = True, x
+
+    n = 120_000
+    rows = pd.DataFrame({"ts": range(n), "event_id": range(n), "kind": ["commit"] * n, "snapshot": [str(i) for i in range(n)]})
+    (last,) = folder("0")((1,), iter([rows]), State())
+    stack, cursor = ["0"], 0
+    for s in rows["snapshot"]:
+        cursor = step(stack, cursor, "commit", s)
+    assert last.iloc[0].tolist() == [1, n, len(stack), cursor, stack[cursor]] and len(stack) == n
+
+
+def test_colour_functions(spark):
+    want = {"rgb(1, 2, 3)": (1, 2, 3), "rgb(1 2 3)": (1, 2, 3), "RGBA(1,2,3,.5)": (1, 2, 3), "rgba(1 2 3 / 0.5)": (1, 2, 3), "rgb(300, 0, 10)": (255, 0, 10), "rgb(1,2)": None, "rgb(-5, 1, 2)": None, "rgb(1,,2,3)": None, "rgb(1, 2, 3, 4, 5)": None, "rgb(a, b, c)": None}
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", color.rgb_function(F.col("t")).alias("c")).collect()
+    assert {r["t"]: r["c"] and tuple(r["c"]) for r in rows} == want
+
+
+def test_odd_rectangles_dont_spread_over_cells(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, 0, (0.0, 0.0, 10.0, 10.0)), (1, 1, (0.0, 0.0, inf, 10.0)), (1, 2, (nan, 0.0, 10.0, 10.0)), (1, 3, (-1e300, 0.0, 5.0, 5.0)), (1, 4, (5.0, 5.0, -3.0, 2.0))]
+    t = spark.createDataFrame([(p, s, (float(a), float(b), float(c), float(d))) for p, s, (a, b, c, d) in rows], "page int, op_seq int, rect struct<left:double,top:double,width:double,height:double>")
+    spans = t.where("op_seq = 0").withColumnRenamed("op_seq", "span_seq")
+    got = {r["op_seq"]: r["span_seq"] for r in match.best_spans(t, spans, ["page"]).collect()}
+    assert got[0] == 0 and got[2] is None and got[4] is None
+
+
+def test_files_in_and_out(spark, tmp_path):
+    import base64
+    import io as bytes_io
+    import zipfile
+
+    from quillframe.sources import io
+
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x02\0\0\0"
+    jpg = b"\xff\xd8\xff\xe0\x00\x10JFIF\x00\x01\x01\0\0\x01\0\x01\0\0" + b"\xff\xc2\x00\x11\x08" + (300).to_bytes(2, "big") + (200).to_bytes(2, "big") + b"\x03" + b"\0" * 9
+    for name, content in (("a.png", png), ("b.jpg", jpg), ("c.jpg", b"\xff\xd8\xff\xe0\x00\x10"), ("d.pdf", b"%PDF-1.4")):
+        (tmp_path / name).write_bytes(content)
+    found = io.image_sizes(io.files(spark, f"file://{tmp_path}"))
+    got = {r["name"]: (r["format"], r["width"], r["height"]) for r in found.collect()}
+    assert got == {"a.png": ("png", 640, 480), "b.jpg": ("jpg", 200, 300), "c.jpg": ("jpg", None, None), "d.pdf": ("pdf", None, None)}
+    urls = {r["name"]: r["data_url"] for r in io.data_urls(found.where("format IN ('png', 'jpg')")).collect()}
+    assert urls["b.jpg"] == "data:image/jpeg;base64," + base64.b64encode(jpg).decode()
+    pages = spark.createDataFrame([("x", 1, bytearray(b"one")), ("x", 2, bytearray(b"two")), ("y", 1, bytearray(b"three"))], "part string, page int, content binary")
+    named = io.named_outputs(pages.withColumn("name", F.lit("my file.pdf")), "name", "png")
+    packed = {r["part"]: bytes(r["archive"]) for r in io.archives(named.select("part", "file", "content"), "part").collect()}
+    with zipfile.ZipFile(bytes_io.BytesIO(packed["x"])) as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"page-001.png": b"one", "page-002.png": b"two"}
+    io.write_pages(pages, f"file://{tmp_path}/split", by="part")
+    assert spark.read.parquet(f"file://{tmp_path}/split").where("part = 'x'").count() == 2
+    io.write_texts(spark.createDataFrame([("<svg/>",)], "svg string"), f"file://{tmp_path}/svgs", "svg")
+    assert [r[0] for r in spark.read.text(f"file://{tmp_path}/svgs").collect()] == ["<svg/>"]
+    assert io.language(spark) == "en"
+
+
+def test_fits_as_columns_and_as_layers_agree(spark):
+    rows = spark.range(400).select((F.col("id") % 9).cast("int").alias("n"), (F.col("id") * 1.7 + 0.5).alias("most"), (F.col("id") % 5 * 0.02 - 0.04).alias("t"), (F.col("id") % 4 * 0.2 + 0.8).alias("s"))
+    args = F.col("n"), F.lit(12.0), F.col("most"), F.col("t"), F.col("s")
+    both = geom.with_fit_size(rows.withColumn("a", geom.fit_size(*args)), "b", *args)
+    assert both.where("a <> b").count() == 0
