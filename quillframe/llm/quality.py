@@ -8,8 +8,9 @@ nothing, so that a text without defects, short or long, in whatever language, sc
 length alone never tells for or against a text.
 
 Fitting uses at most ``most_rated`` rated documents (those of least seeded hash of doc_id; documents
-with the same features once), screens features by their score statistic, and runs a fixed number of
-full-batch Adam steps in a fixed order, so reruns agree. Everything else is a pass over all texts:
+with the same features once), screens features by their score statistic, counted in Spark, and runs a fixed
+number of full-batch Adam steps in a fixed order, so reruns agree. The driver holds what passed the screening:
+at most ``most_features`` buckets, the strongest, of the rated documents. Everything else is a pass over all texts:
 scoring is map-only, and the weights sent out are bounded by the fitting sample.
 
 Defined cases: a null or empty text has no features, so z = 0. Ratings of unknown documents, with
@@ -20,6 +21,7 @@ give repeated results; other columns pass through, but for ones with the names o
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import Scratch, pick
 from ._text import LOWER, Words, mix, scan
 
 BITS = 22
@@ -75,49 +77,79 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w in scan(batch.column("text")):
             flat, bounds = features(w)
             n = len(w.count)
-            packed = pa.array([flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.first, n), batch.column("grade").slice(w.first, n), packed], names=["doc_id", "grade", "features"])
+            same = pa.array([hashlib.sha256(flat[a:b].tobytes()).digest()[:16] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(w.first, n), batch.column("grade").slice(w.first, n), same, lists], names=["doc_id", "grade", "same", "features"])
 
 
 def _expit(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = 12_288, seed: int = 3) -> Ordinal:
+def _screened(rated: DataFrame, grades: list[int], counts: list[int], most_features: int) -> np.ndarray:
+    """Buckets whose presence tells against the grades above some threshold, counted where the features are; the strongest ``most_features``."""
+    total = sum(counts)
+    held = rated.select("grade", F.explode("features").alias("bucket"))
+    above = [F.sum((F.col("grade") >= g).cast("long")).alias(f"above{j}") for j, g in enumerate(grades[1:])]
+    found = held.groupBy("bucket").agg(F.count("*").alias("n"), *above)
+    scores = []
+    for j in range(len(grades) - 1):
+        mean = sum(counts[j + 1 :]) / total
+        scores.append((F.col(f"above{j}") - F.col("n") * mean) / F.sqrt(F.col("n") * max(mean * (1 - mean), 1e-12)))
+    found = found.where(F.col("n") >= LEAST_DOCS).withColumn("score", F.least(*scores) if len(scores) > 1 else scores[0]).where(F.col("score") < -SCREEN)
+    return np.sort(found.orderBy("score", "bucket").limit(most_features).select("bucket").toArrow().column("bucket").to_numpy().astype(np.int32))
+
+
+def fit(docs: DataFrame, ratings: DataFrame, most_rated: int = 12_288, seed: int = 3, most_features: int = 1 << 16) -> Ordinal:
     """The model of ``ratings`` (doc_id, grade) of ``docs`` (doc_id, text)."""
     rated = pick(ratings, doc_id="long", grade="int").where("doc_id IS NOT NULL AND grade IS NOT NULL")
     chosen = rated.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "grade").limit(most_rated)
     # at most most_rated rows of 12 bytes
     texts = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-    got = texts.mapInArrow(_featured, "doc_id long, grade int, features binary").toArrow().sort_by([("doc_id", "ascending"), ("grade", "ascending"), ("features", "ascending")])
-    grade, packed = got.column("grade").to_numpy(), got.column("features").to_pylist()
-    del got
-    seen: set[tuple[bytes, int]] = set()
-    once = [i for i, pair in enumerate(zip(packed, grade.tolist(), strict=True)) if not (pair in seen or seen.add(pair))]
-    return fit_features([np.frombuffer(packed[i], dtype=np.int32) for i in once], grade[once].astype(np.int64))
+    scratch = Scratch(docs.sparkSession, "rated")
+    read = scratch.table(texts.mapInArrow(_featured, "doc_id long, grade int, same binary, features array<int>"), "read")
+    once = scratch.table(read.groupBy("same", "grade").agg(F.first("features").alias("features")), "once")
+    sizes = once.groupBy("grade").count().orderBy("grade").collect()  # a row a grade
+    grades = [int(r["grade"]) for r in sizes]
+    none = np.zeros(0)
+    if len(grades) < 2:
+        return Ordinal(none.astype(np.int32), none, none, np.array(grades, dtype=np.int64))
+    buckets = _screened(once, grades, [int(r["count"]) for r in sizes], most_features)
+    shared = docs.sparkSession.sparkContext.broadcast(buckets)  # most_features numbers
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [x[np.isin(x, shared.value, assume_unique=True)] for x in (np.asarray(f.values, dtype=np.int32) for f in batch.column("features"))]
+            yield pa.RecordBatch.from_arrays([batch.column("grade"), batch.column("same"), pa.array([k.tobytes() for k in kept], pa.binary())], names=["grade", "same", "features"])
+
+    # what passed the screening alone comes to the driver
+    got = once.select("grade", "same", "features").mapInArrow(narrowed, "grade int, same binary, features binary").toArrow().sort_by([("same", "ascending"), ("grade", "ascending")])
+    sets = [np.frombuffer(x, dtype=np.int32) for x in got.column("features").to_pylist()]
+    scratch.drop(read, once)
+    return fit_features(sets, got.column("grade").to_numpy().astype(np.int64), buckets)
+
+
+def log_likelihood(model: Ordinal, sets: list[np.ndarray], grade: np.ndarray) -> float:
+    """What fitting raises, by the definition: the balanced log-likelihood less the ridge, a document at a time."""
+    y = np.searchsorted(model.grades, grade)
+    share = np.bincount(y, minlength=len(model.grades)) / len(y)
+    balance = 1.0 / np.sqrt(share[y])
+    balance /= balance.mean()
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    total = 0.0
+    for own, level, b in zip(sets, y.tolist(), balance.tolist(), strict=True):
+        z = sum(weights.get(f, 0.0) for f in own.tolist())
+        upto = [0.0, *(1.0 / (1.0 + np.exp(-(c - z))) for c in model.thresholds), 1.0]
+        total += b * np.log(max(upto[level + 1] - upto[level], 1e-12))
+    return total / len(y) - RIDGE * float((model.weights**2).sum()) / (2 * len(y))
 
 
-def fit_features(sets: list[np.ndarray], grade: np.ndarray) -> Ordinal:
+def fit_features(sets: list[np.ndarray], grade: np.ndarray, buckets: np.ndarray) -> Ordinal:
+    """Weights of ``buckets`` (sorted) and thresholds; ``sets`` hold buckets of these alone, ``grade`` two grades at least."""
     grades = np.unique(grade)
-    none = np.zeros(0)
-    if len(grades) < 2:
-        return Ordinal(none.astype(np.int32), none, none, grades)
     y, n, steps = np.searchsorted(grades, grade), len(grade), len(grades) - 1
-    flat = np.concatenate(sets)
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
-    count = np.bincount(flat, minlength=1 << BITS)
-    use = np.zeros(1 << BITS, dtype=bool)
-    for j in range(1, steps + 1):
-        above = (y >= j) - np.mean(y >= j)
-        score = np.bincount(flat, weights=above.astype(np.float32)[doc], minlength=1 << BITS)
-        use |= score < -SCREEN * np.sqrt(np.maximum(count, 1) * max(above.var(), 1e-12))
-    use &= count >= LEAST_DOCS
-    buckets = np.flatnonzero(use)
-    place = np.zeros(1 << BITS, dtype=np.int32)
-    place[buckets] = np.arange(len(buckets))
-    inside = use[flat]
-    f, d = place[flat[inside]], doc[inside]
-    del flat, doc, inside, place, use, count
+    f = np.searchsorted(buckets, np.concatenate(sets)) if len(sets) else np.zeros(0, np.int64)
+    d = np.repeat(np.arange(n, dtype=np.int32), [len(s) for s in sets])
     balance = 1.0 / np.sqrt(np.bincount(y, minlength=steps + 1) / n)[y]
     balance /= balance.mean()
     below = np.array([np.mean(y <= j) for j in range(steps)])
