@@ -16,7 +16,7 @@ one class until the end, so a vector that a third of all rows share costs one ro
 
 Defined cases: vectors null or with null or non-finite components take no part, as row or query; a
 null vec_id neither. Vectors of different length compare as if padded with zeros. Repeated rows
-with one id count once. Components beyond 2^62 / 1024 saturate; inner products beyond 64 bits are
+with one id count once. Ties go to the smaller vec_id. Other columns are ignored, whatever their names. Components beyond 2^62 / 1024 saturate; inner products beyond 64 bits are
 computed exactly and then clipped to 64 bits. An empty table gives an empty result.
 """
 
@@ -209,6 +209,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
             break
         lo, hi = hi, hi * SIXTEENFOLD
     own = keyed.where("queries > 0 AND copies > 1").select("rep", "v")
-    product = F.udf(lambda v: max(LOWEST, min(-LOWEST - 1, sum(int(x) * int(x) for x in v))), "long")  # one call a query class with copies
-    mine = own.select(F.col("rep").alias("q"), "rep", product("v").alias("score"))
+    # exact below 64 bits, clipped beyond: a sum that the doubles put well beyond isn't added up
+    wide = F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda acc, x: (acc + x.cast("decimal(19,0)") * x.cast("decimal(19,0)")).cast("decimal(38,0)"))
+    most = F.lit(-LOWEST - 1)
+    product = F.when(square >= 1e19, most).otherwise(F.least(wide, most.cast("decimal(38,0)")).cast("long"))
+    mine = own.select(F.col("rep").alias("q"), "rep", product.alias("score"))
     return expand(tops.unionByName(mine), rows, reps, is_query, k)
