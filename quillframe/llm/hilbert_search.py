@@ -6,18 +6,19 @@ orderings differ in rotation and shift. Spark range-partitions each ordering; a
 Queries meet the rows within ``window`` places on any curve, and all rows met are reranked by the exact
 inner product.
 
-The window is calibrated, not guessed: for a bounded sample of queries (``PROBES``) the true
-neighbours are found by one pass over all rows, and the window is the one that would have found
-``target`` of them. Data with structure get short windows; data without any (independent
-components) get windows whose union nears the whole table, since nothing less would find the
-neighbours. The target of 0.95 leaves room above a recall of 0.9 for queries outside the sample.
+The window and the number of curves are calibrated, not guessed: for a bounded sample of queries (``PROBES``)
+the true neighbours are found by one pass over all rows, and of the choices that would have found
+``target`` of them the one that meets the fewest rows is taken. Data with structure get short windows; data
+without any (independent components) get windows that near the whole table, on few curves, since
+nothing less would find the neighbours. The target of 0.95 leaves room above a recall of 0.9 for queries outside the sample.
 
 Held on the driver: rotations, the probes and their neighbours, one row per range partition. A curve is
 stored in blocks of at most BLOCK rows, so no group grows with the corpus. Equal vectors are one class until the end.
 
 Defined cases: vectors null, zero or with null or non-finite components take no part, as row or
 query; a null vec_id neither. Different lengths compare as if padded with zeros. Repeated rows
-with one id count once. An empty table gives an empty result.
+with one id count once. Ties go to the smaller vec_id; finite vectors whose products overflow keep their
+infinite scores. Other columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -72,8 +73,10 @@ class Curves(NamedTuple):
     reach: np.ndarray  # half the extent of each projected axis
     longest: float
     dim: int
+    unit: float = 1.0  # what a component of 1 is measured by
 
     def keys(self, x: np.ndarray, query: bool) -> np.ndarray:
+        x = x / self.unit
         square = (x * x).sum(axis=1)
         if query:
             y = np.column_stack([x * np.sqrt(self.longest / np.maximum(square, 1e-300))[:, None], np.zeros(len(x))])
@@ -148,21 +151,27 @@ def ordered(keyed: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
     """(q, rep, score) of each query's k best of the rows, exact in double precision."""
-    s = q @ x.T
-    s[q_ids[:, None] == ids[None, :]] = -np.inf
-    take = min(k, s.shape[1])
-    part = np.argpartition(-s, take - 1, axis=1)[:, :take] if take < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(q), 1))
-    # all that tie with the k-th stay in, to be told apart by id later
-    kth = np.take_along_axis(s, part, axis=1).min(axis=1)
-    at, to = np.nonzero((s >= kth[:, None] - 1e-12 * np.abs(kth[:, None])) & np.isfinite(s))
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ x.T
+        # what the order of additions may change; products that overflow are judged by their exact sum alone
+        slack = 4.0 * q.shape[1] * np.finfo(float).eps * (np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :])
+        high, low = s + slack, s - slack
+    sure = np.isfinite(high) & np.isfinite(low)
+    own = q_ids[:, None] == ids[None, :]
+    high, low = np.where(sure, high, np.inf), np.where(sure & ~own, low, -np.inf)
+    take = min(k, low.shape[1])
+    kth = np.partition(low, low.shape[1] - take, axis=1)[:, low.shape[1] - take]
+    # all that may tie with the k-th or beat it stay in, to be told apart exactly and by id later
+    at, to = np.nonzero((high >= kth[:, None]) & ~own)
     return [q_ids[at], ids[to], exact(q[at], x[to])]
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise inner products, summed from the first component to the last."""
     out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for j in range(a.shape[1]):
+            out += a[:, j] * b[:, j]
     return out
 
 
@@ -175,7 +184,7 @@ def _probe(shared, probes, k: int):
                 part = batch.slice(a, BLOCK)
                 new = _best(q_ids, q, part.column("rep").to_numpy(zero_copy_only=False), matrix(part.column("v"), dim), k)
                 best = new if best is None else [np.concatenate(x) for x in zip(best, new, strict=True)]
-                order = np.lexsort((best[1], -best[2], best[0]))
+                order = np.lexsort((best[1], -np.nan_to_num(best[2], nan=-np.inf, posinf=np.inf, neginf=-np.inf), best[0]))
                 best = [x[order] for x in best]
                 first = np.searchsorted(best[0], best[0])
                 keep = np.arange(len(best[0])) - first < k
@@ -212,12 +221,22 @@ def _packed_vectors(dim: int):
     return packed
 
 
-def calibrate(places: DataFrame, true: DataFrame, rows: int, target: float) -> int:
-    """Half-width that would have found ``target`` of the true pairs (q, rep); their number is bounded."""
+def calibrate(places: DataFrame, true: DataFrame, rows: int, target: float) -> tuple[int, int]:
+    """(curves, half-width) that would have found ``target`` of the true pairs (q, rep) at the least number of rows met."""
     asked = places.where("query").join(F.broadcast(true.select("q").distinct()), F.col("rep") == F.col("q")).select("curve", "q", F.col("place").alias("q_place"))
     near = places.where("NOT query").join(F.broadcast(true.select(F.col("rep").alias("r"), "q")), F.col("rep") == F.col("r")).select("curve", "q", "rep", "place")
-    gaps = near.join(asked, ["curve", "q"]).groupBy("q", "rep").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()["gap"]
-    return int(min(rows, np.quantile(gaps, target, method="higher") + 1)) if len(gaps) else rows
+    # PROBES * k pairs on each curve
+    gaps = near.join(asked, ["curve", "q"]).groupBy("q", "rep", "curve").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()
+    if not len(gaps):
+        return 1, rows
+    table = gaps.pivot(index=["q", "rep"], columns="curve", values="gap").sort_index(axis=1).to_numpy()
+    best = None
+    for curves in range(1, table.shape[1] + 1):
+        window = int(min(rows, np.quantile(table[:, :curves].min(axis=1), target, method="higher") + 1))
+        met = curves * min(rows, 3 * max(64, window))
+        if best is None or met < best[0]:
+            best = (met, curves, window)
+    return best[1], best[2]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TARGET) -> DataFrame:
@@ -228,18 +247,22 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     is_query = F.col("vec_id") % every == 0
     reps = scratch.table(classes(rows, is_query), "classes")
     square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)
-    n, longest, dim, asking = reps.agg(F.count("*"), F.coalesce(F.max(square), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.sum((F.col("queries") > 0).cast("long"))).first()
+    # curves are laid over vectors by the largest component, so that no square overflows
+    unit = reps.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 1.0
+    part = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + (x / unit) * (x / unit))
+    n, longest, dim, asking = reps.agg(F.count("*"), F.coalesce(F.max(part), F.lit(0.0)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.sum((F.col("queries") > 0).cast("long"))).first()
     if not n or not asking:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = matrix(reps.orderBy(F.xxhash64("rep")).limit(4096).select("v").toArrow().column("v").combine_chunks(), dim)
-    shared = spark.sparkContext.broadcast(fit_curves(sample, longest * (1 + 1e-12)))
+    shared = spark.sparkContext.broadcast(fit_curves(sample / unit, longest * (1 + 1e-12))._replace(unit=unit))
     places = scratch.table(ordered(reps.select("rep", "v", "queries").mapInArrow(_keyed(shared), "curve int, key long, rep long, query boolean"), scratch), "places")
     some = reps.where("queries > 0").orderBy(F.xxhash64("rep", F.lit(1))).limit(PROBES).select("rep", "v").toArrow()
     probes = spark.sparkContext.broadcast((some.column("rep").to_numpy(), matrix(some.column("v").combine_chunks(), dim)))
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    best = Window.partitionBy("q").orderBy(F.desc(F.nanvl("score", F.lit(-float("inf")))), "rep")
     true = reps.select("rep", "v").mapInArrow(_probe(shared, probes, k), "q long, rep long, score double").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     true = scratch.table(true.select("q", "rep"), "true")  # PROBES * k rows
-    window = calibrate(places, true, n, target)
+    curves, window = calibrate(places, true, n, target)
+    places = places.where(F.col("curve") < curves)
     # blocks no longer than the window, so that a query meets three or, where windows are long, 2 * ceil(window / BLOCK) + 1
     size = int(min(BLOCK, max(64, window)))
     around = -(-window // size)

@@ -306,9 +306,49 @@ def test_edit_distance(a, b):
     assert passages.edits(np.array(a, np.uint32), np.array(b, np.uint32))[0] == row[-1]
 
 
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize(("n", "letters", "changes"), [(300, 50, 3), (300, 2, 60), (120, 3, 200), (400, 1000, 0)])
+def test_edit_distance_of_long_gaps(n, letters, changes):
+    rng = np.random.default_rng(n + letters)
+    a = rng.integers(0, letters, n).tolist()
+    b = list(a)
+    for _ in range(changes):
+        i = int(rng.integers(len(b)))
+        b[i : i + int(rng.integers(0, 2))] = [int(rng.integers(letters))] * int(rng.integers(0, 2))
+    for x, y in ((a, b), (b, a), (a, a[::-1]), (a, a[:7]), ([1] + a[1:], [2] + a[1:150] + a[151:])):
+        assert passages.edits(np.array(x, np.uint32), np.array(y, np.uint32))[0] == plain_edits(x, y)
+
+
+def test_a_gap_of_three_hundred_words_is_aligned(spark):
+    # the gap holds an edit in every third word, so no seed; and one word less
+    x, y, gap = fresh_words("x", 400), fresh_words("y", 400), fresh_words("g", 300)
+    other = [f"other{i}" if i % 4 == 1 else w for i, w in enumerate(gap) if i != 150]
+    rows = [(1, " ".join(x + gap + y), "en", "s"), (2, " ".join(x + other + y), "en", "s")]
+    (got,) = passages.repeated_passages(frame(spark, rows)).collect()
+    assert (got["start_word"], got["end_word"], got["ref_end_word"]) == (0, 1099, 1100)
+    assert got["edits"] == plain_edits(gap, other)
+
+
 # --- sharding
 
 
+def test_repeated_rows_and_null_ids_are_split(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_RANGE", 50)
+    rows = [(None if i % 2 else 7, "one text of all rows", "en", "s") for i in range(2400)]
+    got = sharding.shard_documents(frame(spark, rows), shards=8).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    sizes = [r["b"] for r in got]
+    assert len(sizes) == 8 and max(sizes) < 1.03 * min(sizes)
+
+
 def test_shards(spark):
     got = sharding.shard_documents(frame(spark), shards=7).collect()
     assert len(got) == len(ROWS)
@@ -589,6 +629,60 @@ def test_quality_on_held_out(spark):
     assert np.mean([round(float(got[i]["quality_grade"])) == grades[i] for i in held]) > 0.95
 
 
+def brute_features(text):
+    """Buckets by the definition, a word at a time."""
+    words = [w for w in re.split(rb"[ \t\n\x0b\x0c\r]+", (text or "").encode().lower()) if w]
+    raw = (text or "").encode()
+    w = next(iter(_text.scan(pa.array([text or ""]))), None)
+    hashes = w.hash.tolist() if w else []
+    shift = 64 - quality.BITS
+    out = {h >> shift for h in hashes}
+    for x in words:
+        code = 0
+        for j in (3, 2, 1):
+            code = code * 257 + (x[-j] if len(x) >= j else 0)
+        out.add(int(_text.mix(np.array([code + 77], np.uint64))[0]) >> shift)
+    share = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1)
+    out |= {int(_text.mix(np.array([1000 + i], np.uint64))[0]) >> shift for i, r in enumerate(quality.REPEATS) if share >= r}
+    assert len(raw) >= len(words)
+    return out
+
+
+def test_quality_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, t, "en", "s") for i, (_, t, _, _) in enumerate(ROWS)]
+    rows = [(d, (t or "") + " awful" * int(rng.integers(1, 4)) if d % 3 == 0 else t, x, y) for d, t, x, y in rows]
+    rated = spark.createDataFrame([(d, int(d % 3 != 0) + int(d % 5 != 0 and d % 3 != 0)) for d, *_ in rows], "doc_id long, grade int")
+    docs = frame(spark, rows)
+    model = quality.fit(docs, rated)
+    assert len(model.buckets) and list(model.thresholds) == sorted(model.thresholds)
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    for d, t, _, _ in rows:
+        z = sum(weight.get(f, 0.0) for f in brute_features(t))
+        tails = [1 / (1 + np.exp(c - z)) for c in model.thresholds]
+        assert got[d]["quality_tail"] == pytest.approx(tails[-1], abs=2e-6)
+        assert got[d]["quality_grade"] == pytest.approx(model.grades[0] + sum(x * (b - a) for x, a, b in zip(tails, model.grades, model.grades[1:], strict=False)), abs=2e-6)
+
+
+def test_fitting_climbs_the_likelihood():
+    rng = np.random.default_rng(5)
+    buckets = np.arange(0, 60, 2, dtype=np.int32)
+    bad = rng.normal(size=30) < 0
+    sets, grade = [], []
+    for _ in range(400):
+        own = np.sort(rng.choice(buckets, 6, replace=False))
+        sets.append(own.astype(np.int32))
+        grade.append(int(np.clip(2 - sum(bad[np.searchsorted(buckets, own)]) / 2 + rng.normal() * 0.4, 0, 2)))
+    grade = np.array(grade)
+    model = quality.fit_features(sets, grade, buckets)
+    best = quality.log_likelihood(model, sets, grade)
+    for _ in range(40):  # no step in any allowed direction does better
+        w = np.minimum(model.weights + rng.normal(size=len(model.weights)) * 0.05, 0.0)
+        cut = np.sort(model.thresholds + rng.normal(size=2) * 0.05)
+        assert quality.log_likelihood(model._replace(weights=w, thresholds=cut), sets, grade) <= best + 1e-4
+
+
 def test_quality_without_ratings_keeps_all(spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     docs = frame(spark)

@@ -102,3 +102,19 @@ def test_hilbert_neighbours_differ_by_one_step(dims, bits):
     assert sorted(key.tolist()) == list(range(len(grid)))
     walk = grid[np.argsort(key)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_overflowing_products_are_found():
+    q, x = np.array([[1e200, 0.0], [1.0, 2.0]]), np.array([[1e200, 0.0], [-1e200, 0.0], [1.0, 1.0], [1e200, 1e200]])
+    at, to, score = hilbert_search._best(np.array([100, 101]), q, np.array([1, 2, 3, 4]), x, 2)
+    got = {(int(a), int(b)): float(s) for a, b, s in zip(at, to, score, strict=True)}
+    assert got[100, 1] == got[100, 4] == float("inf") and got[101, 4] == 1e200 + 2e200
+
+
+def test_products_near_nothing_lose_no_neighbour():
+    rng = np.random.default_rng(0)
+    q, x = rng.normal(size=(20, 64)), rng.normal(size=(300, 64))
+    x -= (x @ q[0])[:, None] * q[0] / (q[0] @ q[0])  # all at right angles to the first query
+    at, to, score = hilbert_search._best(np.arange(20) + 1000, q, np.arange(300), x, 5)
+    want = hilbert_search.exact(np.repeat(q[:1], 300, axis=0), x)
+    assert set(np.lexsort((np.arange(300), -want))[:5]) <= set(to[at == 1000])
