@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch
 from ._vectors import classes, expand, matrix, usable
 
-CURVES, DIMS, BITS = 16, 8, 6
+CURVES, LEAST_CURVES, DIMS, BITS = 16, 2, 8, 6
 PROBES, TARGET = 128, 0.95
 BLOCK = 4096
 
@@ -222,16 +222,16 @@ def _packed_vectors(dim: int):
 
 
 def calibrate(places: DataFrame, true: DataFrame, rows: int, target: float) -> tuple[int, int]:
-    """(curves, half-width) that would have found ``target`` of the true pairs (q, rep) at the least number of rows met."""
+    """(curves, half-width) that would have found ``target`` of the true pairs (q, rep) at the least number of rows met; several curves always."""
     asked = places.where("query").join(F.broadcast(true.select("q").distinct()), F.col("rep") == F.col("q")).select("curve", "q", F.col("place").alias("q_place"))
     near = places.where("NOT query").join(F.broadcast(true.select(F.col("rep").alias("r"), "q")), F.col("rep") == F.col("r")).select("curve", "q", "rep", "place")
     # PROBES * k pairs on each curve
     gaps = near.join(asked, ["curve", "q"]).groupBy("q", "rep", "curve").agg(F.min(F.abs(F.col("place") - F.col("q_place"))).alias("gap")).toPandas()
     if not len(gaps):
-        return 1, rows
+        return LEAST_CURVES, rows
     table = gaps.pivot(index=["q", "rep"], columns="curve", values="gap").sort_index(axis=1).to_numpy()
     best = None
-    for curves in range(1, table.shape[1] + 1):
+    for curves in range(LEAST_CURVES, table.shape[1] + 1):
         window = int(min(rows, np.quantile(table[:, :curves].min(axis=1), target, method="higher") + 1))
         met = curves * min(rows, 3 * max(64, window))
         if best is None or met < best[0]:
