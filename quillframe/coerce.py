@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: The white space characters of the model's text rules.
 WHITE = "\t\n\x0b\x0c\r \u00a0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{WHITE}]"
+#: Letters and digits are told apart from white space by two ranges, before the list is gone through.
+WS = f"[\\x00-\\x20\u00a0-\uffff&&[{WHITE}]]"
+BLANKS = WHITE.replace("\u2000-\u200a", "".join(map(chr, range(0x2000, 0x200B))))
 
 
 def lit(value) -> Column:
@@ -54,7 +56,7 @@ def leading_int(value) -> Column:
 
 
 def trimmed(value) -> Column:
-    return F.regexp_replace(value, f"^{WS}+|{WS}+$", "")
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def let(values: dict[str, Column], body) -> Column:

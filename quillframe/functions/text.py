@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..coerce import WHITE, WS, trimmed
+from ..coerce import BLANKS, WHITE, WS, trimmed
 
 
 def commit(text: Column) -> Column:
     """An edit as it is stored: no carriage returns, line breaks with the white space about them one space."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), f"{WS}*\n{WS}*", " ")
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(""))
+    return F.when(F.contains(plain, F.lit("\n")), F.regexp_replace(plain, f"{WS}*\n{WS}*", " ")).otherwise(plain)
 
 
 def one_line(text: Column) -> Column:
     """As the export draws it: carriage returns dropped, each line feed a space."""
-    return F.translate(F.coalesce(text, F.lit("")), "\n\r", " ")
+    return F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit("")), F.lit("\n"), F.lit(" "))
 
 
 def item(text: Column) -> Column:
     """A scanned run: no-break spaces are spaces, trailing white space goes."""
-    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), f"{WS}+$", "")
+    return F.rtrim(F.replace(F.coalesce(text, F.lit("")), F.lit("\u00a0"), F.lit(" ")), F.lit(BLANKS))
 
 
 def visible(text: Column) -> Column:

@@ -15,17 +15,22 @@ from ..functions import font, geom, text
 TYPE = ("family", "size", "weight", "style", "char_spacing")
 
 
+def _unlike(a: Column, b: Column, rule) -> Column:
+    """Whether ``rule`` gives two texts different values; equal texts aren't looked into."""
+    return F.when(a.eqNullSafe(b), F.lit(False)).otherwise(rule(a) != rule(b))
+
+
 def _family_changed(o: Column, e: Column) -> Column:
-    return font.comparable(e["family"]) != font.comparable(o["family"])
+    return _unlike(e["family"], o["family"], font.comparable)
 
 
 def _weight_changed(o: Column, e: Column) -> Column:
-    return font.weight(text_or(e["weight"], o["weight"])) != font.weight(o["weight"])
+    return _unlike(text_or(e["weight"], o["weight"]), o["weight"], font.weight)
 
 
 def _shape_changed(o: Column, e: Column) -> Column:
     size, spacing = number_or(o["size"], 0.0), F.coalesce(o["char_spacing"], F.lit(0.0))
-    slant = font.comparable(text_or(e["style"], o["style"])) != font.comparable(o["style"])
+    slant = _unlike(text_or(e["style"], o["style"]), o["style"], font.comparable)
     return slant | (F.abs(number_or(e["size"], size) - size) > 0.05) | (F.abs(F.coalesce(e["char_spacing"], spacing) - spacing) > 0.01)
 
 

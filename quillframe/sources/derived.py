@@ -1,4 +1,4 @@
-"""Layout tables derived from the corpus tables, without a shuffle: each is a narrow view of its source."""
+"""Layout tables derived from the corpus tables: each is a narrow view of its source."""
 
 from __future__ import annotations
 
@@ -15,13 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores, where their files come in fewer parts than there are cores; else as they are.
+
+    A file of one row group is one task however many rows are made of it. Files of a corpus have more parts than
+    the cluster has cores, so nothing is shuffled there.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.rdd().getNumPartitions() < cores else rows
+
+
 def text_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each word of ``documents``: twelve to a line, forty lines to a page.
 
     doc_id, page_index, seq, run_id, str, len, left, top, width, height. (doc_id, seq) tells runs apart; run_id
     is only a number to vary by.
     """
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"))
     words = {"ws": F.filter(F.split("text", "[\n ]"), lambda w: w != "")}
     # texts are parted into lines, then lines into words whose places are sums over a fixed number of columns: no
     # window, and no row that carries its text along
