@@ -250,3 +250,26 @@ def test_fits_as_columns_and_as_layers_agree(spark):
     args = F.col("n"), F.lit(12.0), F.col("most"), F.col("t"), F.col("s")
     both = geom.with_fit_size(rows.withColumn("a", geom.fit_size(*args)), "b", *args)
     assert both.where("a <> b").count() == 0
+
+
+def test_white_space(spark):
+    d = F.lit
+    every = "\t\n\x0b\x0c\r  ﻿        　"
+    assert value(spark, coerce.trimmed(d(f"{every}a b\u0085{every}"))) == "a b\u0085"
+    assert value(spark, coerce.trimmed(d(every))) == ""
+    assert value(spark, coerce.trimmed(d(None).cast("string"))) is None
+    assert value(spark, text.commit(d("a \r\n　b\rc"))) == "a bc"
+    assert value(spark, text.commit(d(None).cast("string"))) == ""
+    assert value(spark, text.one_line(d("a\r\nb\n"))) == "a b "
+    assert value(spark, text.item(d("a b  \n"))) == "a b"
+    assert value(spark, font.comparable(d(f" A{every}B "))) == "a b"
+
+
+def test_spread(spark):
+    from quillframe.sources.derived import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == cores
+    many = spark.range(100, numPartitions=cores + 3)
+    assert spread(many) is many
+    assert sorted(r.id for r in spread(spark.range(9, numPartitions=1)).collect()) == list(range(9))
