@@ -254,7 +254,7 @@ def test_fits_as_columns_and_as_layers_agree(spark):
 
 def test_white_space(spark):
     d = F.lit
-    every = "\t\n\x0b\x0c\r  ﻿        　"
+    every = "\t\n\x0b\x0c\r " + "".join(map(chr, (0xA0, 0xFEFF, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
     assert value(spark, coerce.trimmed(d(f"{every}a b\u0085{every}"))) == "a b\u0085"
     assert value(spark, coerce.trimmed(d(every))) == ""
     assert value(spark, coerce.trimmed(d(None).cast("string"))) is None
