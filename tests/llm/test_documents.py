@@ -252,6 +252,42 @@ def test_passages_with_edits_are_found(spark):
     assert len(got) >= 0.95 * pairs
 
 
+@pytest.mark.parametrize("before", [1, 5, 20])
+def test_inexact_passages_whose_parts_first_stood_apart_are_found(spark, before):
+    # X and Y stand alone in ``before`` documents each; two later ones share X + Y, with edits in the second also where X and Y meet
+    rows, want = [], {}
+    for t in range(0, 600, 60):
+        x, y = (fresh_words(f"{c}{t}", 34) for c in "xy")
+        whole, other = x + y, x + y
+        for i in (9, 32, 33, 34, 52):
+            other[i] = f"edit{t}at{i}"
+        if t % 120:
+            del other[33]
+        for i, m in enumerate([x, y] * before + [whole, other], t + 1):
+            rows.append((i, " ".join(fresh_words(f"a{i}", 40) + m + fresh_words(f"b{i}", 40)), "en", "s"))
+        want[t + 2 * before + 2] = (t + 2 * before + 1, 40, 40 + len(other), 40, 108, 5)
+    got = {r["doc_id"]: (r["ref_doc_id"], r["start_word"], r["end_word"], r["ref_start_word"], r["ref_end_word"], r["edits"]) for r in passages.repeated_passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_inexact_repeats_of_scattered_parts_are_found(spark):
+    # every document but the first 80 holds 64 words of an earlier one, an edit in each 12; all are made of parts that stand in many
+    rng = np.random.default_rng(6)
+    pieces = [fresh_words(f"p{i}", 16) for i in range(24)]
+    texts = [sum((pieces[i] for i in rng.integers(0, 24, 10)), []) for _ in range(80)]
+    for d in range(80, 160):
+        own = list(texts[d - 80][32:96])
+        for i in range(int(rng.integers(0, 12)), 64, 12):
+            own[i] = f"edit{d}at{i}"
+        texts.append(fresh_words(f"a{d}", 30) + own + fresh_words(f"b{d}", 30))
+    rows = [(d, " ".join(t), "en", "s") for d, t in enumerate(texts)]
+    covered = defaultdict(set)
+    for r in passages.repeated_passages(frame(spark, rows)).collect():
+        covered[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    caught = sum(len(covered[d] & set(range(30, 94))) >= 32 for d in range(80, 160))
+    assert caught >= 78
+
+
 def test_every_exact_repeat_of_scattered_parts_is_covered(spark):
     rng = np.random.default_rng(5)
     pieces = [fresh_words(f"p{i}", 17) for i in range(24)]
