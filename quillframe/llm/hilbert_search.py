@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, small_batches
 from ._vectors import classes, expand, matrix, usable
 
 CURVES, LEAST_CURVES, DIMS, BITS = 16, 2, 8, 6
 PROBES, TARGET = 128, 0.95
-BLOCK = 4096
+BLOCK, MEETING = 4096, 8
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -203,9 +203,10 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
 def _met(dim: int, k: int):
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                q_ids, ids = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-                q, x = (np.frombuffer(row[c], np.float64).reshape(-1, dim) for c in ("q_v", "v"))
+            for i in range(batch.num_rows):
+                # one row at a time, without copies of the others
+                q_ids, ids = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("q_ids", "ids"))
+                q, x = (np.frombuffer(batch.column(c)[i].as_buffer(), np.float64).reshape(-1, dim) for c in ("q_v", "v"))
                 out = _best(q_ids, q, ids, x, k)
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in out], names=["q", "rep", "score"])
 
@@ -274,4 +275,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, target: float = TA
     found = meeting.join(scratch.table(blocks, "blocks"), ["curve", "block"]).select("q_ids", "q_v", "ids", "v").mapInArrow(_met(dim, k), "q long, rep long, score double")
     tops = found.distinct().withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "rep", "score")
     mine = reps.where("queries > 0 AND copies > 1").select(F.col("rep").alias("q"), "rep", square.alias("score"))
-    return expand(scratch.table(tops.unionByName(mine), "tops"), rows, reps, is_query, k)
+    # a row of ``meeting`` holds up to two blocks, so few go in one batch
+    with small_batches(spark, MEETING):
+        tops = scratch.table(tops.unionByName(mine), "tops")
+    return expand(tops, rows, reps, is_query, k)

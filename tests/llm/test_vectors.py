@@ -87,6 +87,28 @@ def test_approximate_search_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_few_blocks_go_in_one_batch(spark, monkeypatch):
+    rng, met = np.random.default_rng(4), hilbert_search._met
+
+    def watched(dim, k):
+        inner = met(dim, k)
+
+        def run(batches):
+            def few():
+                for b in batches:
+                    assert b.num_rows <= 8
+                    yield b
+
+            return inner(few())
+
+        return run
+
+    monkeypatch.setattr(hilbert_search, "_met", watched)
+    centres = rng.normal(size=(60, 8))
+    rows = [(i, (centres[i % 60] + 0.01 * rng.normal(size=8)).tolist(), "a", 1, 2) for i in range(2400)]
+    assert hilbert_search.nearest(spark.createDataFrame(rows, SCHEMA)).count() == 120 * 20
+
+
 def test_approximate_search_on_little(spark):
     assert hilbert_search.nearest(spark.createDataFrame([], SCHEMA)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.0], "a", 1, 2), (1, [1.0, 5.0], "a", 1, 2), (2, [0.0, 0.0], "a", 1, 2), (3, [1.0, 0.0], "a", 1, 2)], SCHEMA)
