@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, pick, small_batches
+from ._common import Scratch, pick, small_batches, tidy
 from ._components import components
 from ._text import mix, scan, shingle_sets
 
@@ -296,7 +296,7 @@ def _confirm(percent: int):
 
 def _full(wanted: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """doc, shingles of the wanted documents, once each; merged at every size, so that the plan doesn't change as the corpus grows."""
-    sets = texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(_sets(k), "doc long, shingles binary")
+    sets = texts.join(wanted.hint("merge"), "doc", "left_semi").mapInArrow(tidy(_sets(k)), "doc long, shingles binary")
     return scratch.table(sets, "sets").where(F.octet_length("shingles") > 0).dropDuplicates(["doc"])
 
 
@@ -305,7 +305,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
     full = _full(wanted, texts, k, scratch)
     left, right = (full.select(F.col("doc").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    return scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "confirmed")
+    return scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidy(_confirm(percent)), "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 6) -> DataFrame:
@@ -346,7 +346,7 @@ def _text_key(text: Column) -> Column:
 def _near_duplicates(docs: DataFrame, k: int, percent: int, trees: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near")
     base = pick(docs, doc_id="long", text="string").withColumn("t", _text_key(F.col("text")))
-    sketches = scratch.table(base.mapInArrow(sketcher(k), "doc_id long, t long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
+    sketches = scratch.table(base.mapInArrow(tidy(sketcher(k)), "doc_id long, t long, n_shingles long, hi long, lo long, tokens binary, print binary"), "sketches")
     taking = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # a class of equal sets is named by its least doc_id; by a hash, where that doc_id has several texts
     several = scratch.table(taking.groupBy("doc_id").agg(F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("doc_id", "t0"), "several")
@@ -380,7 +380,7 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int, trees: int) -> DataF
 
 def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch, k: int, percent: int, trees: int) -> DataFrame:
     least = percent / 100
-    members = scratch.table(members.mapInArrow(_paths(trees), "doc long, n long, tokens binary, print binary, paths array<long>"), "members")
+    members = scratch.table(members.mapInArrow(tidy(_paths(trees)), "doc long, n long, tokens binary, print binary, paths array<long>"), "members")
     nodes = members.select("doc", "n", F.posexplode("paths").alias("at", "node"))
     sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
     nodes = scratch.table(nodes.join(sizes, "node").select("doc", "n", "node", "at", "size"), "nodes")
@@ -390,7 +390,7 @@ def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch, k: int, perc
     hubs = nodes.join(typical, "doc").groupBy("node").agg(best).select("node", (-F.col("best.minus")).alias("hub"))
     spokes = nodes.join(hubs, "node").where("doc <> hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     sided = [members.select(F.col("doc").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab"]
-    spokes = spokes.join(sided[0], "a").join(sided[1], "b").select("a", "b", "ta", "tb").mapInArrow(_similar(least - HUB_SLACK), "a long, b long")
+    spokes = spokes.join(sided[0], "a").join(sided[1], "b").select("a", "b", "ta", "tb").mapInArrow(tidy(_similar(least - HUB_SLACK)), "a long, b long")
     found = _confirmed(scratch.table(spokes, "spokes"), texts, k, percent, scratch)
     roots = scratch.table(components(found, scratch).withColumnRenamed("node", "doc"), "hub-roots")
     # across components: small nodes at once, larger ones after branching
@@ -420,13 +420,13 @@ def _linked(members: DataFrame, texts: DataFrame, scratch: Scratch, k: int, perc
         if last or shape.where("NOT small").isEmpty():
             break
         branching = own.join(shape.where("NOT small").select("node"), "node", "left_semi").join(members.select("doc", "tokens"), "doc")
-        nodes = branching.select("doc", "n", "node", "tokens").mapInArrow(_next_nodes, "doc long, n long, node long, at int")
+        nodes = branching.select("doc", "n", "node", "tokens").mapInArrow(tidy(_next_nodes), "doc long, n long, node long, at int")
         nodes = scratch.table(nodes, "nodes")
     placed = scratch.table(placed, "placed")
     known = members.select("doc", "print", "paths").join(masks, "doc", "left").select("doc", "print", "paths", F.coalesce("mask", F.lit(0)).alias("mask"))
     met = placed.join(known, "doc").repartition(*KEY).sortWithinPartitions(*KEY, "doc")
-    flagged = scratch.table(met.mapInArrow(_flagged(least - SLACK), "node long, chunk int, block int, doc long"), "flagged")
+    flagged = scratch.table(met.mapInArrow(tidy(_flagged(least - SLACK)), "node long, chunk int, block int, doc long"), "flagged")
     full = _full(flagged.select("doc").distinct(), texts, k, scratch)
     again = flagged.join(placed, [*KEY, "doc"]).join(known, "doc").join(full, "doc").repartition(*KEY).sortWithinPartitions(*KEY, "doc")
-    links = scratch.table(again.mapInArrow(_spanning(least - SLACK, percent), "a long, b long"), "spanning")
+    links = scratch.table(again.mapInArrow(tidy(_spanning(least - SLACK, percent)), "a long, b long"), "spanning")
     return components(found.unionByName(links), scratch)

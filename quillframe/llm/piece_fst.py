@@ -44,6 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import tidy
 from ._memo import gather, kept
 from ._text import GROUP_BYTES, buffers, distinct, scan
 
@@ -503,13 +504,13 @@ def _prepared(docs: DataFrame, model_path: str) -> tuple[DataFrame, bytes]:
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) for every row of ``docs``."""
     base, model = _prepared(docs, model_path)
-    return base.mapInArrow(_mapper(model, ["doc_id"], False), "doc_id long, n_tokens long, ids array<int>")
+    return base.mapInArrow(tidy(_mapper(model, ["doc_id"], False)), "doc_id long, n_tokens long, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip (whether decoding the ids gives the text) for every row."""
     base, model = _prepared(docs, model_path)
-    return base.mapInArrow(_mapper(model, ["doc_id"], True), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return base.mapInArrow(tidy(_mapper(model, ["doc_id"], True)), "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -529,4 +530,4 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
                 out.append(text[1:] if units.m.dummy and text.startswith(" ") else text)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(tidy(run), "doc_id long, text string")

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillframe.llm import _text, lines, mixing, near_dedup, passages, piece_fst, quality, sharding, token_store
+from quillframe.llm import _common, _text, lines, mixing, near_dedup, passages, piece_fst, quality, sharding, token_store
 from quillframe.llm._components import components
 from quillframe.llm._common import Scratch
 from quillframe.llm.queries import tokenizer_path
@@ -48,6 +48,12 @@ def test_scan_finds_words_and_equal_hashes(texts):
     assert len(set(seen.values())) == len(seen)
 
 
+def test_workers_give_memory_back_after_each_task(monkeypatch):
+    done = []
+    monkeypatch.setattr(_common, "release", lambda: done.append(1))
+    assert list(_common.tidy(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and done == [1]
+
+
 # --- line dedup
 
 
