@@ -273,3 +273,39 @@ def test_spread(spark):
     many = spark.range(100, numPartitions=cores + 3)
     assert spread(many) is many
     assert sorted(r.id for r in spread(spark.range(9, numPartitions=1)).collect()) == list(range(9))
+
+
+#: queries whose rows stay where their documents were dealt out to
+STAY = ("span_match_iou",)
+
+
+@pytest.mark.parametrize("name", STAY)
+def test_rows_made_of_documents_are_not_shuffled(spark, name):
+    import re
+
+    from quillframe import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(doc_id#\w+, \d+\), REPARTITION_BY_NUM", plan)
+    assert not re.search(r"Exchange hashpartitioning\(doc_id[^)]*\), ENSURE_REQUIREMENTS", plan)
+
+
+def test_parts_dealt_out_grow_with_the_files(spark, tmp_path, monkeypatch):
+    from quillframe.sources import derived
+
+    spark.range(4000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    parts = lambda: derived.text_runs(spark, str(tmp_path)).rdd.getNumPartitions()
+    few = parts()
+    monkeypatch.setattr(derived, "PART", 1 << 12)
+    assert few == spark.sparkContext.defaultParallelism and parts() > 8 * few
+
+
+def test_a_span_is_matched_once_across_cells_and_equal_ops_stay(spark):
+    from quillframe.operators import match
+
+    rect = "struct<left:double,top:double,width:double,height:double>"
+    ops = spark.createDataFrame([(1, 1, (0.0, 0.0, 100.0, 100.0), "a"), (1, 1, (0.0, 0.0, 100.0, 100.0), "b"), (1, 2, (300.0, 0.0, 10.0, 10.0), "c"), (1, 3, (float("nan"), 0.0, 1.0, 1.0), "d"), (1, 4, None, "e")], f"page int, op_seq int, rect {rect}, note string")
+    spans = spark.createDataFrame([(1, 7, (0.0, 0.0, 100.0, 90.0), "x"), (1, 6, (0.0, 10.0, 100.0, 90.0), "y"), (1, 8, (309.0, 9.0, 99.0, 99.0), "z"), (2, 9, (0.0, 0.0, 100.0, 100.0), "q")], f"page int, span_seq int, rect {rect}, name string")
+    m = match.best_spans(ops, spans, ["page"], carried=["name"])
+    got = sorted((r["op_seq"], r["note"], r["span_seq"], r["name"], r["score"] and round(r["score"], 6)) for r in m.collect())
+    assert got == [(1, "a", 6, "y", 0.9), (1, "b", 6, "y", 0.9), (2, "c", None, None, None), (3, "d", None, None, None), (4, "e", None, None, None)]
