@@ -276,7 +276,7 @@ def test_spread(spark):
 
 
 #: queries whose rows stay where their documents were dealt out to
-STAY = ("span_match_iou",)
+STAY = ("span_match_iou", "baseline_snap")
 
 
 @pytest.mark.parametrize("name", STAY)
@@ -309,3 +309,27 @@ def test_a_span_is_matched_once_across_cells_and_equal_ops_stay(spark):
     m = match.best_spans(ops, spans, ["page"], carried=["name"])
     got = sorted((r["op_seq"], r["note"], r["span_seq"], r["name"], r["score"] and round(r["score"], 6)) for r in m.collect())
     assert got == [(1, "a", 6, "y", 0.9), (1, "b", 6, "y", 0.9), (2, "c", None, None, None), (3, "d", None, None, None), (4, "e", None, None, None)]
+
+
+def test_nearest_baselines_are_those_of_all_pairs(spark):
+    from quillframe.operators import match
+
+    # near and far boxes, equal baselines, deleted ones, and a page of one box
+    made = [(p, i, float((i * i * 37 + p * 11) % 400 // (p % 3 + 1)), 10.0 + i % 3, 0.8, (i + p) % 5 == 0) for p in range(6) for i in range((p * 17) % 60 + 1)]
+    rows = spark.createDataFrame(made, "page int, box_seq int, top double, size double, ascent double, is_deleted boolean")
+    got = {(r["page"], r["box_seq"]): r["ref_seq"] for r in match.nearest_baseline(rows, ["page"], F.col("box_seq") % 2 == 0).collect()}
+    line = {(p, i): t + s * a for p, i, t, s, a, _ in made}
+
+    def ref(p, i, top):
+        others = [(abs(line[p, j] - line[p, i]) + abs(t - top) * 0.1, j) for q, j, t, _, _, gone in made if q == p and j != i and not gone]
+        return min(others)[1] if others else None
+
+    assert got == {(p, i): ref(p, i, top) for p, i, top, *_ in made if i % 2 == 0}
+
+
+def test_rows_among_named_keys(spark):
+    from quillframe.operators.first_best import among
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, None)], "k int, v string")
+    named = spark.createDataFrame([(1,), (1,), (3,), (9,), (None,)], "k int")
+    assert sorted(map(repr, among(rows, named, ["k"]).collect())) == sorted(map(repr, rows.join(named, "k", "left_semi").collect()))
