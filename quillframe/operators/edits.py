@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..coerce import clamp, layer, number_or, text_or
 from ..functions import font, geom, text
+from .first_best import among
 
 TYPE = ("family", "size", "weight", "style", "char_spacing")
 
@@ -179,7 +180,7 @@ def origin_masks(boxes: DataFrame) -> DataFrame:
 
 def selected(objects: DataFrame, chosen: DataFrame, key: str | list[str]) -> DataFrame:
     """Text boxes among the chosen."""
-    return objects.where((F.col("kind") == "text_box") & ~F.col("is_helper")).join(chosen, key, "left_semi")
+    return among(objects.where((F.col("kind") == "text_box") & ~F.col("is_helper")), chosen, [key] if isinstance(key, str) else key)
 
 
 def auto_matched(boxes: DataFrame, compat: bool = False) -> DataFrame:
