@@ -276,7 +276,7 @@ def test_spread(spark):
 
 
 #: queries whose rows stay where their documents were dealt out to
-STAY = ("span_match_iou", "baseline_snap", "erase_dedup", "paint_order", "op_page_group", "selected_boxes")
+STAY = ("span_match_iou", "op_resolve", "baseline_snap", "erase_dedup", "paint_order", "op_page_group", "selected_boxes")
 
 
 @pytest.mark.parametrize("name", STAY)
